@@ -109,12 +109,12 @@ def chain(evidence: DataFrame, ident: str, depth: int = 100) -> DataFrame:
     links = evidence.select("id", "in_reply_to")
     found = spark.sql(
         """with recursive up(id, parent, n, seen) as (
-             select id, in_reply_to, 0, array(id) from {links} where id = {ident}
+             select id, in_reply_to, 0, array(id) from {links} where id = :ident
              union all
              select l.id, l.in_reply_to, up.n + 1, array_append(up.seen, l.id) from up join {links} l on l.id = up.parent where not array_contains(up.seen, l.id))
            select id, n from up""",
+        args={"ident": ident},
         links=links,
-        ident=F.lit(ident),
     )
     top = found.agg(F.max("n").alias("top"))
     return evidence.join(found.crossJoin(top).select("id", (F.col("top") - F.col("n")).alias("depth")), "id").orderBy("depth")

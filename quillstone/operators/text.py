@@ -25,15 +25,18 @@ def word_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{IsAlphabetic}\p{IsDigit}]+"), lambda t: F.length(t) >= 2))
 
 
-@pandas_udf("array<string>")
-def folded_tokens(texts: pd.Series) -> pd.Series:
+def folded_tokens(c: Column) -> Column:
     """Runs of letters and digits, case folded and without diacritics."""
 
     def one(t):
         plain = "".join(x for x in unicodedata.normalize("NFKD", (t or "").casefold()) if not unicodedata.combining(x))
         return re.findall(r"[^\W_]+", plain)
 
-    return texts.map(one)
+    @pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return tokens(c)
 
 
 def body_text(body: Column) -> Column:
@@ -99,7 +102,7 @@ def search(docs: DataFrame, query: str, limit: int | None = 10, id_col: str = "i
     match = parse_match(query)
     words = terms(match)
     toks = docs.select("*", ascii_tokens(F.col(text_col)).alias("toks"))
-    tf = [F.size(F.filter("toks", lambda t, w=w: t == w)) for w in words]
+    tf = [F.size(F.filter("toks", (lambda w: lambda t: t == w)(w))) for w in words]
     figures = toks.select(F.size("toks").alias("dl"), *[F.array_contains("toks", w).cast("int").alias(f"d{k}") for k, w in enumerate(words)])
     figures = figures.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{k}").alias(f"df{k}") for k in range(len(words))])
     hits = toks.where(matches(F.col("toks"), match)).select(*docs.columns, F.size("toks").alias("dl"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)]).crossJoin(F.broadcast(figures))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("evidence", "graph", "temporal", "text", "writes")
 
 
 def load() -> None:
