@@ -63,7 +63,7 @@ def tag_normalise(spark, d):
     return tags.select("tag", names.name_col(F.col("tag")).alias("name"), names.namespace_col(F.col("tag")).alias("space"))
 
 
-@query(f"with {EV}, {HX}, {REL} select "table", source, coalesce(target, -1)::bigint as target, status from (values ('evidence', (select count(*) from ev), (select count(*) from ev where event_id % 9 <> 0)), ('hyperedges', (select count(*) from hx), (select count(*) from hx)), ('relations', (select count(*) from rel), null)) t(\"table\", source, target), "
+@query(f"with {EV}, {HX}, {REL} select \"table\", source, coalesce(target, -1)::bigint as target, status from (values ('evidence', (select count(*) from ev), (select count(*) from ev where event_id % 9 <> 0)), ('hyperedges', (select count(*) from hx), (select count(*) from hx)), ('relations', (select count(*) from rel), null)) t(\"table\", source, target), "
        "lateral (select case when source is null or target is null then 'skip' when source = target then 'pass' else 'fail' end as status)")
 def verify_counts(spark, d):
     ev, hx = evidence(spark, d), hyperedges(spark, d)
