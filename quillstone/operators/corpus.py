@@ -83,16 +83,33 @@ def stop_share(posts: DataFrame, stop: list[str] = text.STOP_WORDS) -> DataFrame
 
 def divergence(versions: DataFrame, key: str, version: str, text_col: str, band: str) -> DataFrame:
     """By band: documents, those of several versions, tokens ever held and held now, documents that lost some, documents
-    with none now, and the inflation."""
+    with none now, the inflation, and ranks of the documents' own ratios."""
     toks = versions.select(key, version, band, text.ascii_tokens(F.col(text_col), 2).alias("toks"))
     docs = toks.groupBy(key).agg(F.max_by(band, version).alias("band"), F.count("*").alias("versions"), F.size(F.array_distinct(F.max_by("toks", version))).alias("now"))
     ever = toks.select(key, F.explode("toks").alias("t")).distinct().groupBy(key).agg(F.count("*").alias("ever"))
     both = docs.join(ever, key, "left").withColumn("ever", F.coalesce("ever", F.lit(0)))
+    ratio = both.where("now > 0").withColumn("ratio", F.round(F.col("ever") / F.col("now"), 4))
+    ranks = nearest_rank(ratio, "ratio", [0.5, 0.9, 0.99], ["band"]).join(ratio.groupBy("band").agg(F.max("ratio").alias("most")), "band")
     s = lambda c: F.sum(c.cast("int"))
-    return both.groupBy("band").agg(
+    sums = both.groupBy("band").agg(
         F.count("*").alias("docs"), s(F.col("versions") > 1).alias("multi"), F.sum("ever").alias("ever"), F.sum("now").cast("bigint").alias("now"),
         s(F.col("ever") > F.col("now")).alias("grew"), s(F.col("now") == 0).alias("empty"), F.round(F.try_divide(F.sum("ever"), F.sum("now")), 4).alias("inflation"),
     )
+    return sums.join(ranks, "band", "left")
+
+
+def manifest(rows: DataFrame, type_col: str = "type", author_col: str = "author", tags_col: str = "tags") -> DataFrame:
+    """(facet, value, count) by type, author and tag, and the total: what a slice of the log holds."""
+    facets = F.array(
+        F.struct(F.lit("type").alias("facet"), F.col(type_col).alias("value")), F.struct(F.lit("author").alias("facet"), F.col(author_col).alias("value")), F.struct(F.lit("total").alias("facet"), F.lit("").alias("value")),
+    )
+    tags = F.transform(F.coalesce(F.col(tags_col), F.array().cast("array<string>")), lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value")))
+    return rows.select(F.explode(F.concat(facets, tags)).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("count"))
+
+
+def most_seen(rows: DataFrame, key: str, seen: str = "seen", n: int = 40) -> DataFrame:
+    """The documents seen most often."""
+    return rows.select(key, F.coalesce(seen, F.lit(1)).alias("seen")).orderBy(F.desc("seen"), key).limit(n)
 
 
 def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:

@@ -85,6 +85,12 @@ def denormalise(props: dict) -> dict:
     return out
 
 
+def shape_log(docs: DataFrame, id_col: str, json_col: str, chars: int = 200) -> DataFrame:
+    """(id, kind, preview) of documents that belong to no table, for a side output."""
+    kind = F.when(F.col(json_col).isNull(), "null").otherwise(F.schema_of_variant(F.try_parse_json(json_col)))
+    return docs.select(F.col(id_col).alias("id"), F.substring(kind, 1, chars).alias("kind"), F.substring(json_col, 1, chars).alias("preview"))
+
+
 def allowed(penholder: str | None, holders: set[str] | None) -> None:
     """Refuse a writer that isn't on the list (no list: all may write)."""
     if holders is not None and penholder not in holders:

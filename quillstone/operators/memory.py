@@ -47,11 +47,12 @@ def project(components: DataFrame, endpoints: list[str], limit: int | None = Non
     return _asked(hit, asked).join(first, "endpoint", "left").orderBy("n", "nth")
 
 
-def audit(components: DataFrame, endpoints: list[str], limit: int | None = None) -> DataFrame:
-    """By requested endpoint the components selected, and over all the distinct edges and entries."""
-    rows = project(components, endpoints, limit)
+def audit(rows: DataFrame) -> DataFrame:
+    """Of a projection's rows, by requested endpoint: edges selected, those with their entry, those without; and over all
+    the distinct edges and entries.  On the current basis edges without an entry were never selected."""
     all_ = rows.agg(F.countDistinct("id").alias("edges"), F.countDistinct("entry_id").alias("entries"))
-    return rows.groupBy("n", "endpoint").agg(F.count("id").alias("components")).crossJoin(F.broadcast(all_)).orderBy("n")
+    by = rows.groupBy("n", "endpoint").agg(F.count("id").alias("selected"), F.count("entry_id").alias("components"), F.count(F.when(F.col("id").isNotNull() & F.col("entry_id").isNull(), 1)).alias("missing"))
+    return by.crossJoin(F.broadcast(all_)).orderBy("n")
 
 
 def project_as_of(edges: DataFrame, evidence: DataFrame, endpoints: list[str], limit: int | None = None) -> DataFrame:

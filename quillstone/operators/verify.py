@@ -31,6 +31,17 @@ def checksum(x) -> str:
     return hashlib.md5(json.dumps(canonical(x), sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def compare_docs(source: dict, target: dict | None) -> dict:
+    """Whether the target is missing, the keys whose values differ (of those the source has), and the keys that can't be
+    verified because their name holds a slash of its own."""
+    want = {k: v for k, v in source.items() if v is not None}
+    odd = sorted(k for k in want if str(k).lstrip(":").count("/") > 1)
+    if target is None:
+        return {"missing": True, "keys": [], "unverifiable": odd}
+    have = canonical(target)
+    return {"missing": False, "keys": sorted(k for k, v in want.items() if k not in odd and have.get(fold_key(k)) != canonical(v)), "unverifiable": odd}
+
+
 def row_text(columns: list[str]) -> Column:
     """A row as sorted name=value lines, nulls left out."""
     each = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in sorted(columns)]

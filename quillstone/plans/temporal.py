@@ -67,9 +67,12 @@ def mem_projection_current(spark, d):
     return flat(mem.project(mem.components(memory_edges(spark, d), evidence(spark, d)), ENDS, 10))
 
 
-@query(f"with {COMP}, {FIRST.format('comp', 10)}, o as ({OUT}) select n, endpoint, count(id)::bigint as components, (select count(distinct id) from o)::bigint as edges, (select count(distinct entry_id) from o)::bigint as entries from o group by n, endpoint")
+AUDIT = "select n, endpoint, count(id)::bigint as selected, count(entry_id)::bigint as components, sum((id is not null and entry_id is null)::int)::bigint as missing, (select count(distinct id) from o)::bigint as edges, (select count(distinct entry_id) from o)::bigint as entries from o group by n, endpoint"
+
+
+@query(f"with {COMP}, {FIRST.format('comp', 10)}, o as ({OUT}) {AUDIT}")
 def mem_projection_audit(spark, d):
-    return mem.audit(mem.components(memory_edges(spark, d), evidence(spark, d)), ENDS, 10)
+    return mem.audit(mem.project(mem.components(memory_edges(spark, d), evidence(spark, d)), ENDS, 10))
 
 
 AT, BY = "2024-01-01 01:30:00", "2024-01-01 02:00:00"
@@ -77,10 +80,21 @@ MLOG = """mlog as (select id, 'put' as op, ts as valid_from, null::timestamp as
   union all select id, 'delete', ts + interval 5 day, null, ts + interval 5 day, 1, endpoints, entry from mem where k % 6 = 0)"""
 
 
-@query(f"with {EV}, {MEM}, {MLOG}, {ASKED}, held as {as_of('mlog', AT, BY)}, comp as (select held.id, held.endpoints, ev.id as entry_id, ev.type as entry_type, ev.author from held left join ev on ev.id = held.entry), {FIRST.format('comp', 100)} {OUT}")
+HELD = f"{EV}, {MEM}, {MLOG}, {ASKED}, held as {as_of('mlog', AT, BY)}, comp as (select held.id, held.endpoints, ev.id as entry_id, ev.type as entry_type, ev.author from held left join ev on ev.id = held.entry), {FIRST.format('comp', 100)}"
+
+
+def _then(spark, d):
+    return mem.project_as_of(t.as_of(memory_log(spark, d), valid=AT, system=BY), evidence(spark, d), ENDS, 100)
+
+
+@query(f"with {HELD} {OUT}")
 def mem_projection_asof(spark, d):
-    edges = t.as_of(memory_log(spark, d), valid=AT, system=BY)
-    return flat(mem.project_as_of(edges, evidence(spark, d), ENDS, 100))
+    return flat(_then(spark, d))
+
+
+@query(f"with {HELD}, o as ({OUT}) {AUDIT}")
+def mem_projection_asof_audit(spark, d):
+    return mem.audit(_then(spark, d))
 
 
 @query(f"with {EV} select id, type, author, at from ev where type = 'click' and list_has_any(tags, ['ns/k1', 'ns/k2']) and at >= '2024-01-03' order by at desc, id desc limit 20")

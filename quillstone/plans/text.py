@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as c
 from ..operators import text as x
-from ..sources.adapters import read
-from .models import POST, TOK
+from ..sources.adapters import evidence, read
+from .models import EV, POST
 from .registry import query
 
 TOKS = "d as (select *, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 1) as toks from documents)"
@@ -106,6 +106,16 @@ def corpus_seen_totals(spark, d):
     return c.seen_totals(_seen(spark, d))
 
 
+@query(f"with {SEEN} select p_partkey, coalesce(seen, 1)::bigint as seen from s order by seen desc, p_partkey limit 40")
+def corpus_most_seen(spark, d):
+    return c.most_seen(_seen(spark, d), "p_partkey")
+
+
+@query(f"with {EV} select 'type' as facet, type as value, count(*)::bigint as count from ev group by type union all select 'author', author, count(*) from ev group by author union all select 'tag', t, count(*) from (select unnest(tags) as t from ev) group by t union all select 'total', '', count(*) from ev")
+def corpus_manifest(spark, d):
+    return c.manifest(evidence(spark, d))
+
+
 @query(f"with {POST}, f as (select token, count(*) as df from post group by token), l as (select list_sort(list(df)) as v, count(*) as n from f) "
        "select n::bigint as vocab, list_sum(v)::bigint as postings, v[n]::bigint as df_max, v[least(n, floor(n * 0.5)::int + 1)]::bigint as p50, v[least(n, floor(n * 0.9)::int + 1)]::bigint as p90, v[least(n, floor(n * 0.99)::int + 1)]::bigint as p99 from l")
 def corpus_posting_profile(spark, d):
@@ -130,7 +140,11 @@ def corpus_stopword_share(spark, d):
   e as (select conv_id, count(distinct t) as ever from (select conv_id, unnest(toks) as t from v) group by conv_id),
   b as (select k.*, coalesce(ever, 0) as ever from k left join e using (conv_id))
   select band::bigint as band, count(*)::bigint as docs, sum((versions > 1)::int)::bigint as multi, sum(ever)::bigint as ever, sum(now)::bigint as now, sum((ever > now)::int)::bigint as grew, sum((now = 0)::int)::bigint as empty,
-    round(sum(ever)::double / nullif(sum(now), 0), 4) as inflation from b group by band""")
+    round(sum(ever)::double / nullif(sum(now), 0), 4) as inflation,
+    list_sort(list(round(ever::double / now, 4)) filter (where now > 0))[least(count(*) filter (where now > 0), floor(0.5 * count(*) filter (where now > 0))::int + 1)] as p50,
+    list_sort(list(round(ever::double / now, 4)) filter (where now > 0))[least(count(*) filter (where now > 0), floor(0.9 * count(*) filter (where now > 0))::int + 1)] as p90,
+    list_sort(list(round(ever::double / now, 4)) filter (where now > 0))[least(count(*) filter (where now > 0), floor(0.99 * count(*) filter (where now > 0))::int + 1)] as p99,
+    max(round(ever::double / now, 4)) filter (where now > 0) as most from b group by band""")
 def corpus_divergence(spark, d):
     rows = read(spark, d, "conversations").withColumn("band", F.col("conv_id") % 3)
     return c.divergence(rows, "conv_id", "turn", "text", "band")
@@ -155,8 +169,6 @@ ACT = """with a as (select 'e-' || event_id as id, strftime(ts, '%Y-%m-%dT%H:%M:
 
 @query(ACT)
 def activation_report(spark, d):
-    from ..sources.adapters import evidence
-
     k = F.get_json_object("body", "$.k").cast("int")
     hit = [F.struct(F.concat(F.lit("p"), (k + j) % 10).alias("id"), F.concat(F.lit("T"), (k + j) % 10).alias("title"), ((k + 10 * j) / 100.0).alias("score")) for j in (0, 1)]
     body = F.to_json(F.struct(F.when(F.col("type").isin("view", "click"), "context-retrieval").otherwise("other").alias("event"), F.lit("q").alias("query"), F.array(*hit).alias("results")))

@@ -97,6 +97,14 @@ def test_canonical_documents():
     assert verify.checksum(a) == verify.checksum(b) != verify.checksum(b | {"z": 0}) and verify.fold_key("Ab/Cd") == "Ab/cd"
 
 
+def test_documents_compared_by_key(spark):
+    assert verify.compare_docs({"a": 1, "B": [1], "n": None, "x/y/z": 2}, {"a": 1, "b": [2], "extra": 5}) == {"missing": False, "keys": ["B"], "unverifiable": ["x/y/z"]}
+    assert verify.compare_docs({"a": 1}, None)["missing"]
+    rows = spark.createDataFrame([(1, '{"a": [1]}'), (2, "no json" * 99), (3, None)], "id int, doc string")
+    got = {r.id: r for r in ingest.shape_log(rows, "id", "doc").collect()}
+    assert got[1].kind == "OBJECT<a: ARRAY<BIGINT>>" and len(got[2].preview) == 200 and got[3].kind == "null"
+
+
 def test_normalising_documents():
     assert ingest.stringify({":a": {"s": 1}, ":b": [{":c": 2}]}) == {":a": '{"s": 1}', ":b": [{":c": 2}]}
     assert ingest.denormalise({":repo": "r", ":x/repo": "q", ":x/file": "f", "plain": 1}) == {"prop/repo": "r", "prop/file": "f"}
