@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from ._scratch import save
 from ._text import words
 
-WINDOW, RANGE_MB, END = 2048, 8, "<|endoftext|>"
+WINDOW, RANGE_MB, END = 2048, 32, "<|endoftext|>"
 
 
 def _count(texts: pa.Array) -> pa.Array:
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float
     for p, n in meta.select(part, (F.col("n") + (1 if end else 0)).alias("n")).groupBy("part").agg(F.sum("n")).collect():  # one row a range
         totals[p] = n
     offsets = np.concatenate([[0], np.cumsum(totals)])
-    cut = src.select(part, "doc_id", "text").repartition("part").sortWithinPartitions("part", "doc_id", "text").mapInArrow(_cutter(offsets, window, end), _SCHEMA)
+    cut = src.select(part, "doc_id", "text").repartitionById(span + 1, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "text").mapInArrow(_cutter(offsets, window, end), _SCHEMA)
     cut = save(cut, "windows")
     whole = F.col("n_tokens") == window
     bits = F.array_sort(F.collect_list(F.struct("begin", "n_tokens", "text", "docs", "starts")))
