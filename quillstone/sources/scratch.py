@@ -14,6 +14,8 @@ def folder(spark: SparkSession) -> str:
     """The session's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, "")
         if not base:
