@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ._scratch import fresh
+from ._scratch import fresh, save
 from ._text import U, mix, pieces, strings
 
 BITS, HASHES, SEGMENT = 16, 4, 1 << 20  # bits a line, bits set by a line, bits of a segment
@@ -140,9 +140,11 @@ def removals(docs: DataFrame, filter_mb: int = 256) -> DataFrame:
         filters = spark.sparkContext.broadcast(bits)
     who = F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.xxhash64("text").alias("seal"))
     found = docs.select(who.alias("who"), "text").mapInArrow(_suspects(filters, segments), "who struct<none boolean, doc_id bigint, seal bigint>, line int, h1 bigint, h2 bigint")
-    # the first occurrence has the least place: no id last, then doc_id and line; equal places are one occurrence
-    order = Window.partitionBy("h1", "h2").orderBy("who", "line")
-    again = found.withColumn("k", F.rank().over(order)).where("k > 1")
+    # the first occurrence has the least place: no id last, then doc_id and line; equal places are one occurrence.
+    # Minima combine before the shuffle, and a join that meets a hot line can be split, so no task sees all of one line.
+    found, place = save(found, "suspects"), F.struct("who", "line")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
     return again.groupBy("who").agg(F.collect_set("line").alias("lines")).select("who.doc_id", "who.seal", "lines")
 
 
