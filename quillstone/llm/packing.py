@@ -3,11 +3,14 @@
 Pass 1 counts the tokens of every document; partitions are ranges of doc_id of about ``range_mb`` of text, and the
 prefix sums of their totals are the partitions' global offsets.  Pass 2 brings each range together in order and cuts
 it: windows that lie within a range are whole; the two at its ends leave boundary records, which alone meet again by
-window.  Tokens are words (runs of anything but ASCII white space), and each document ends with a separator token."""
+window.  Tokens are words (runs of anything but ASCII white space) or, with a vocabulary's path, the ids of byte-pair
+encoding; each document ends with a separator token."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,31 @@ from ._text import words
 WINDOW, RANGE_MB, END = 2048, 32, "<|endoftext|>"
 
 
-def _count(texts: pa.Array) -> pa.Array:
-    n = [np.diff(w.first) for w in words(texts, hashed=False)]
-    return pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())
+@cache
+def _encoder(vocabulary: str, pattern: str):
+    """Byte-pair encoding by a file of base64 tokens and ranks; read once by each worker."""
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, f) if t}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def tokeniser(vocabulary: str | None, pattern: str | None) -> Callable[[str], list[bytes]]:
+    """Words, or ids in decimal where a vocabulary is given."""
+    if vocabulary is None:
+        return lambda t: t.encode("utf-8").split()
+    return lambda t: [b"%d" % i for i in _encoder(vocabulary, pattern).encode_ordinary(t)]
+
+
+def _counter(vocabulary: str | None, pattern: str | None):
+    def count(texts: pa.Array) -> pa.Array:
+        if vocabulary is not None:
+            return pa.array([len(_encoder(vocabulary, pattern).encode_ordinary(t)) if t else 0 for t in (x.as_py() for x in texts)], pa.int64())
+        n = [np.diff(w.first) for w in words(texts, hashed=False)]
+        return pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())
+
+    return count
 
 
 class _Cut:
@@ -59,12 +84,13 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()),
 _SCHEMA = "window_id bigint, begin bigint, n_tokens bigint, text string, docs array<bigint>, starts array<bigint>"
 
 
-def _cutter(offsets: np.ndarray, window: int, end: str):
+def _cutter(offsets: np.ndarray, window: int, end: str, vocabulary: str | None, pattern: str | None):
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     last = [end.encode()] if end else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, now, rows, size = None, None, [], 0
+        split = tokeniser(vocabulary, pattern)
         for b in batches:
             part, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             text = b.column(2)
@@ -74,7 +100,7 @@ def _cutter(offsets: np.ndarray, window: int, end: str):
                         rows.append(cut.flush())
                     cut, now = _Cut(int(offsets[p]), window), p
                 t = text[k].as_py()
-                tokens = (t.encode("utf-8").split() if t else []) + last
+                tokens = (split(t) if t else []) + last
                 for row in cut.add(doc, tokens):
                     rows.append(row)
                     size += len(row[3])
@@ -89,15 +115,18 @@ def _cutter(offsets: np.ndarray, window: int, end: str):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float = RANGE_MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float = RANGE_MB, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(window_id, n_tokens, text, doc_ids, starts): the windows in order, each with its tokens joined by spaces, the
     documents it holds and where each begins in it (both joined by commas).  All windows but the last are full.
 
+    ``vocabulary`` is the path of a byte-pair vocabulary that every worker can read, and ``pattern`` its splitting pattern;
+    tokens are then ids, and ``end`` should be the separator's id.
+
     Defined cases: the order is doc_id, null last, then the text; a null, empty or word-less text is its separator alone
     (nothing if ``end`` is ""); repeated rows are packed as often as they appear; a null id shows as "null"; other
     columns are ignored; an empty table gives no rows."""
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    meta = save(src.select("doc_id", arrow_udf(_count, "bigint")("text").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "tokens")
+    meta = save(src.select("doc_id", arrow_udf(_counter(vocabulary, pattern), "bigint")("text").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "tokens")
     size = meta.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, -(-int(size) // int(range_mb * (1 << 20))))
     cuts = np.zeros(0, np.int64)
@@ -115,7 +144,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float
     for p, n in meta.select(part, (F.col("n") + (1 if end else 0)).alias("n")).groupBy("part").agg(F.sum("n")).collect():  # one row a range
         totals[p] = n
     offsets = np.concatenate([[0], np.cumsum(totals)])
-    cut = src.select(part, "doc_id", "text").repartitionById(span + 1, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "text").mapInArrow(_cutter(offsets, window, end), _SCHEMA)
+    cut = src.select(part, "doc_id", "text").repartitionById(span + 1, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "text").mapInArrow(_cutter(offsets, window, end, vocabulary, pattern), _SCHEMA)
     cut = save(cut, "windows")
     whole = F.col("n_tokens") == window
     bits = F.array_sort(F.collect_list(F.struct("begin", "n_tokens", "text", "docs", "starts")))

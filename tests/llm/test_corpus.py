@@ -127,6 +127,22 @@ def test_windows_as_by_hand(spark, window, end, mb):
     assert [tuple(r) for r in got] == packed_by_hand(rows, window, end)
 
 
+def test_packing_of_token_ids(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path, pattern = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    rows = [(i, t, s) for i, t, s in awkward() if i is not None and i not in (2, 6, 7)]
+    got = packing.pack(documents(spark, rows), 50, "50256", 0.001, path, pattern).orderBy("window_id").collect()
+    flat = [int(x) for r in got for x in r.text.split()]
+    texts, part = [], []
+    for i in flat:
+        if i == 50256:
+            texts.append(packing._encoder(path, pattern).decode(part))
+            part = []
+        else:
+            part.append(i)
+    assert texts == [t or "" for _, t, _ in sorted(rows)] and {r.n_tokens for r in got[:-1]} == {50}
+
+
 def test_packing_of_long_texts_and_of_nothing(spark):
     got = packing.pack(documents(spark, awkward()), 1000).collect()
     assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) + 1 for _, t, _ in awkward()) and {r.n_tokens for r in got if r.window_id < len(got) - 1} == {1000}
