@@ -5,7 +5,7 @@ element e the values r(e, j) + j at the places of a random permutation, j = 0, 1
 Since round j only makes values of at least j, a document stops once all its places hold less, so long documents need
 one to three rounds and short ones a bounded number of operations.  A signature has 128 places of 16 bits.
 
-Equal signatures collapse to their least doc_id first, so a thousand exact copies cost one row each.  Signatures are cut
+Equal signatures (by 128-bit hash) collapse to their least doc_id first, so a thousand exact copies cost one row each.  Signatures are cut
 into bands; every band value that two documents share becomes a candidate bucket, buckets with the same members count
 once, and within a bucket all pairs that are not yet in one component are compared on the whole signatures: no cap on
 partners.  Verified pairs are joined by union-find across buckets.
@@ -73,7 +73,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero(np.diff(w.first) > 0)
             sig = superminhash(*_grams(w), w.hi - w.lo)[own]
             small = (mix(sig) >> U(48)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo).take(pa.array(own)), pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "sig"])
+            wide, place = np.ascontiguousarray(small).view(np.uint64), np.arange(1, small.shape[1] // 4 + 1, dtype=np.uint64)
+            seals = [mix(mix(wide + mix(place + U(k))).sum(1)).view(np.int64) for k in (0, 1000)]
+            yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo).take(pa.array(own)), *map(pa.array, seals), pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "h1", "h2", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +170,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     rows that share an id are one document, grouped by any of its texts; other columns are ignored whatever their
     names; an empty table gives no rows.  Similarity is estimated on 128 places (standard error 0.04 at most)."""
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    sig = save(src.mapInArrow(_sign, "doc_id bigint, sig binary"), "sig")
-    same = save(sig.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids")).where("size(ids) > 0"), "same")
+    sig = save(src.mapInArrow(_sign, "doc_id bigint, h1 bigint, h2 bigint, sig binary"), "sig")
+    same = save(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "same")
+    copies = sig.select("doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select("rep", "doc_id")
     bands = same.select("rep", "sig").mapInArrow(_bands, "band bigint, doc_id bigint").repartition("band")
     buckets = bands.mapInArrow(_buckets, "seal bigint, size bigint, members array<bigint>").dropDuplicates(["seal", "size"])
     pairs = buckets.select(F.xxhash64("seal", "size").alias("bucket"), F.explode("members").alias("rep"))
     close = pairs.join(same.select("rep", "sig"), "rep").select("bucket", "rep", "sig").repartition("bucket").mapInArrow(_verify(threshold), "a bigint, b bigint")
-    links = close.union(same.where("size(ids) > 1").select("rep", F.explode("ids")))
-    group = components(links, one_task_edges)
+    group = components(close.union(copies), one_task_edges)
     every = src.select("doc_id").distinct()
     return every.join(group, every.doc_id == group.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), (F.coalesce("root", "doc_id") == F.col("doc_id")).cast("int").alias("keep"))
 
