@@ -145,7 +145,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: in
     src = vectors.select(ids.alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
     fine = src.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     dim = (fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first() or [1])[0]
-    same = save(fine.where(F.size("v") == dim).groupBy("v").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids")), "vectors")
+    keyed = fine.where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(seed), "v").alias("h2"))
+    same = save(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")), "vectors")
+    copies = keyed.select("id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select("rep", "id")
     n = same.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / share))))
     top: list[dict] = [{} for _ in range(trees)]
@@ -154,7 +156,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: in
         top = _top(_unit(np.array(sample["v"].tolist(), np.float64)), trees, depth, seed, spill)
     routed = same.select("rep", "v").mapInArrow(_route(top, dim, seed), "tree int, node bigint, id bigint, unit binary").repartition("tree", "node")
     edges = routed.mapInArrow(_compare(dim, seed, leaf, spill, threshold), "a bigint, b bigint")
-    group = components(edges.union(same.where("size(ids) > 1").select("rep", F.explode("ids"))))
+    group = components(edges.union(copies))
     every = src.select("id").distinct()
     return every.join(group, every.id == group.node, "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"), (F.coalesce("root", "id") == F.col("id")).cast("int").alias("keep"))
 
