@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents, in an order of their own; all other columns pass through unchanged; an empty table gives no rows."""
     if counts:
         docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lines_in", "lines_out")])
-    key, seal, lines, parts, kept = fresh(docs, "key", "seal", "lines", "parts", "kept")
+    key, seal, lines, parts, kept, out = fresh(docs, "key", "seal", "lines", "parts", "kept", "out")
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("bigint")
     base = docs.select(ident.alias("doc_id"), text.cast("string").alias("text"))
     gone = removals(base, filter_mb).toDF(key, seal, lines)
@@ -168,7 +168,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = F.when(F.col(kept).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(parts), i)), "\n"))
     n_in = F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("bigint")
     more = [n_in.alias("lines_in"), F.coalesce(F.size(kept).cast("bigint"), n_in).alias("lines_out")] if counts else []
-    return held.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)
+    # exploding an array of one keeps later filters and columns from computing the text again
+    held = held.select(F.explode(F.array(new)).alias(out), *[F.col(f"`{c}`") for c in docs.columns if c != text_col], *more)
+    return held.select(*[F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[m for m in ("lines_in", "lines_out") if counts])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
