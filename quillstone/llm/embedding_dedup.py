@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._components import components, label
 from ._scratch import save
 
-THRESHOLD, TREES, LEAF, SPILL, SHARE, SEED = 0.9, 8, 256, 0.25, 40_000, 29
+THRESHOLD, TREES, LEAF, SPILL, SHARE, SEED = 0.9, 8, 256, 0.15, 40_000, 29
 
 
 def _plane(seed: int, tree: int, path: int, dim: int) -> np.ndarray:
