@@ -1,11 +1,16 @@
-"""From raw documents to packed training windows, in five stages."""
+"""From raw documents to packed training windows, in five stages.
+
+Each stage takes rows as they come.  Null, empty and word-less texts are scored by the classifier like any other and go at
+line dedup, which keeps documents that have a word left.  Documents without an id stay through near-dedup and count as one
+unit of their source in mixing; a null source is a source of its own; repeated rows share every decision.  Columns other
+than those of documents drop out, whatever their names.  Empty tables stay empty."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillstone.llm import line_dedup, mixing, near_dedup, packing, quality
-from quillstone.llm._scratch import save
+from quillstone.sources.scratch import save
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

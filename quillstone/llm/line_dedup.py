@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._scratch import fresh, save
+from ..sources.scratch import fresh, save
 from ._text import U, mix, pieces, strings
 
 BITS, HASHES, SEGMENT = 16, 4, 1 << 20  # bits a line, bits set by a line, bits of a segment

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._scratch import fresh, save
+from ..sources.scratch import fresh, save
 
 ONE, LEAF, FAN, SEED = 1 << 40, 4096, 64, 17
 _M = (1 << 64) - 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._scratch import fresh
+from ..sources.scratch import fresh
 from ._text import U, Spans, words
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "exclaims", "pipes", "other", "symbol_ends", "distinct_words", "repeated_grams", "words_a_line", "stops", "capitals")
