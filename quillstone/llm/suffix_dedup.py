@@ -134,7 +134,8 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
 
 
 def _other(lcp: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """By place in the suffix array: longest common prefix with any suffix of another owner."""
+    """By place in the suffix array: longest common prefix with any suffix of another owner.  ``lcp`` is 0 where no suffix
+    comes before, so the first run's values are 0 as they should be."""
     best = np.zeros(len(lcp), np.int64)
     for back in (False, True):
         own, low = (owner[::-1], np.concatenate([[0], lcp[:0:-1]])) if back else (owner, lcp)
@@ -170,7 +171,7 @@ def _anchors(least: int):
     return run
 
 
-_MET = "anchor bigint, doc_id bigint, lo int, hi int, owner bigint, found boolean"
+_MET = "anchor bigint, doc_id bigint, lo int, hi int, many boolean, found boolean"
 
 
 def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -205,15 +206,16 @@ def _meet(least: int):
         found = many[part] & (hi - lo >= least)
         # an anchor of several windows: each window of one document is to be searched; one of each other kind is searched against
         ask = (kinds > 1) & (~many[part] | new_w)
-        owner = np.where(many[part], -1 - np.arange(len(doc)), doc)
         low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
         high = np.full(group[-1] + 1, np.iinfo(np.int64).min)
         np.minimum.at(low, group, doc)
         np.maximum.at(high, group, doc)
         ask &= (low < high)[group]
+        names = [x.split()[0] for x in _MET.split(", ")]
         for pick, flag in ((found, True), (ask, False)):
             if pick.any():
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(lo[pick]), pa.array(hi[pick]), pa.array((many[part] if not flag else owner)[pick].astype(np.int64)), pa.array(np.full(int(pick.sum()), flag))], [x.split()[0] for x in _MET.split(", ")])
+                cols = [anchor[pick], doc[pick], lo[pick], hi[pick], many[part][pick], np.full(int(pick.sum()), flag)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     return run
 
@@ -320,7 +322,7 @@ def repeats(docs: DataFrame, least: int = LEAST, shard: int = SHARD, id_col: str
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     found = src.mapInArrow(_anchors(least), "anchor bigint, doc_id bigint, lo int, hi int, whole bigint").repartition("anchor").mapInArrow(_meet(least), _MET)
     found = save(found, "met")
-    asks = found.where("not found").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("owner") == 1).alias("many"))).alias("asks"))
+    asks = found.where("not found").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "many")).alias("asks"))
     held = src.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks")
     wide = held.mapInArrow(_windows, "anchor bigint, doc_id bigint, lo int, many boolean, words binary").repartition("anchor")
     more = wide.mapInArrow(_shards(least, shard), "doc_id bigint, lo int, hi int")
