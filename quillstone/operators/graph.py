@@ -173,14 +173,16 @@ def inhabited(bindings: list[dict], entities: DataFrame, edges: DataFrame) -> Da
     spark = entities.sparkSession
     rows = [(n, b.get("kind"), names.canonical(b.get("type")), [names.canonical(t) for t in b.get("endpoint_types") or []]) for n, b in enumerate(bindings)]
     asked = spark.createDataFrame(rows, "n int, kind string, type string, wanted array<string>")
-    have = asked.where("kind = 'entity'").join(entities.select("type"), "type", "left_semi").select("n")
+    of_entity = names.any_equals(F.col("type"), sorted({r[2] for r in rows if r[1] == "entity" and r[2]}) or [""])
+    # types are made distinct before they meet the request: a type of a billion entities is one row there
+    have = asked.where("kind = 'entity'").join(entities.where(of_entity).select("type").distinct(), "type", "left_semi").select("n")
     kinds = {t for r in rows if r[1] == "hyperedge" for t in r[3]}
     of_type = names.any_equals(F.col("type"), sorted({r[2] for r in rows if r[1] == "hyperedge" and r[2]}) or [""])
     some = edges.where(of_type)
     ends = exploded(some).withColumnRenamed("type", "edge_type").join(entities.where(names.any_equals(F.col("type"), sorted(kinds) or [""])).select(F.col("id").alias("endpoint"), F.col("type").alias("end_type")), "endpoint")
     found = ends.groupBy("id", "edge_type").agg(F.collect_set("end_type").alias("found")).groupBy("edge_type", "found").agg(F.count("*").alias("edges"))
     typed = asked.where("kind = 'hyperedge' and size(wanted) > 0").join(found, F.col("type") == F.col("edge_type")).where("size(array_except(wanted, found)) = 0").select("n")
-    plain = asked.where("kind = 'hyperedge' and size(wanted) = 0").join(some.select("type"), "type", "left_semi").select("n")
+    plain = asked.where("kind = 'hyperedge' and size(wanted) = 0").join(some.select("type").distinct(), "type", "left_semi").select("n")
     yes = have.union(typed).union(plain).distinct().withColumn("yes", F.lit(True))
     return asked.join(yes, "n", "left").select("n", "kind", F.coalesce("yes", F.lit(False)).alias("inhabited")).orderBy("n")
 
