@@ -256,6 +256,21 @@ def test_fuzzy_passages_cover_exact_repeats(spark):
     assert sum(len(held.get(i, set()) & set(range(s, e))) for i, s, e in want) >= 0.95 * total
 
 
+def test_fuzzy_passages_between_excerpts(spark):
+    """Every pair of documents that hold a passage, with many others before and between them that quote parts of it."""
+    rng = np.random.default_rng(8)
+    shared = prose(rng, 200).split(" ")
+    whole = {0: 0, 150: 0, 301: 0, 302: 30}
+    rows = []
+    for i in range(-60, 303):
+        cut = rng.integers(0, 161)
+        own = shared[whole[i] :] if i in whole else shared[cut : cut + 40]
+        rows.append((i, " ".join([prose(rng, 30), *own, prose(rng, 30)]), "s"))
+    got = {(r.doc_id, r.other_id): r.end_word - r.start_word for r in fuzzy_dedup.fuzzy_passages(documents(spark, rows)).collect()}
+    for b, a in itertools.combinations(sorted(whole, reverse=True), 2):
+        assert got.get((b, a), 0) >= 165
+
+
 def test_fuzzy_passages_on_awkward_rows(spark):
     got = {(r.doc_id, r.other_id) for r in fuzzy_dedup.fuzzy_passages(documents(spark, awkward())).collect()}
     assert (2, 1) in got and (7, 6) in got and got <= {(2, 1), (7, 6), (11, 10)}
