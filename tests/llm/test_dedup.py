@@ -271,6 +271,47 @@ def test_fuzzy_passages_between_excerpts(spark):
         assert got.get((b, a), 0) >= 165
 
 
+def agree(x, y, least=50, identity=0.75):
+    """Whether two texts have a passage along some diagonal, by trying every one that begins and ends with an agreeing word."""
+    x, y = np.array(x.split(" ")), np.array(y.split(" "))
+    for d in range(-len(y) + least, len(x) - least + 1):
+        n = min(len(x) - max(d, 0), len(y) + min(d, 0))
+        same = np.flatnonzero(x[max(d, 0) :][:n] == y[max(-d, 0) :][:n])
+        if len(same) >= identity * least:
+            size, hits = same[None, :] - same[:, None] + 1, np.arange(len(same))[None, :] - np.arange(len(same))[:, None] + 1
+            if ((size >= least) & (hits >= identity * size)).any():
+                return True
+    return False
+
+
+def test_fuzzy_passages_with_many_edits(spark):
+    rng = np.random.default_rng(33)
+    rows, cases = [], {}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for n in (50, 60, 80, 100):
+            for _ in range(25):
+                p, i = prose(rng, n), len(rows)
+                rows += [(i + k, " ".join([prose(rng, 40), t, prose(rng, 40)]), "s") for k, t in enumerate((p, edited(rng, p, share)))]
+                if agree(rows[i][1], rows[i + 1][1]):
+                    cases.setdefault((share, n), set()).add((i + 1, i))
+    got = {(r.doc_id, r.other_id) for r in fuzzy_dedup.fuzzy_passages(documents(spark, rows)).collect()}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        want = set().union(*(v for (e, _), v in cases.items() if e == share))
+        assert len(want) >= 60 and len(want & got) >= 0.9 * len(want)
+    assert all(b == a + 1 and a % 2 == 0 for b, a in got)
+
+
+def test_common_words_and_stretches_as_by_hand():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x, y = (rng.integers(0, 5, rng.integers(0, 14)).tolist() for _ in range(2))
+        got = fuzzy_dedup.common(x, y)
+        want = max(k for k in range(len(x) + 1) if any(all(c in it for c in sub) for sub in itertools.combinations(x, k) for it in [iter(y)]))
+        assert len(got) == want and all(x[i] == y[j] for i, j in got) and all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+    b = np.concatenate([np.arange(60), np.arange(100, 160), np.arange(400, 430)])
+    assert sorted(fuzzy_dedup.stretches(b, b, 50, 0.75)) == [(0, 120)] and sorted(fuzzy_dedup.stretches(b, b, 50, 0.9)) == [(0, 60), (60, 120)]
+
+
 def test_fuzzy_passages_on_awkward_rows(spark):
     got = {(r.doc_id, r.other_id) for r in fuzzy_dedup.fuzzy_passages(documents(spark, awkward())).collect()}
     assert (2, 1) in got and (7, 6) in got and got <= {(2, 1), (7, 6), (11, 10)}
