@@ -90,45 +90,51 @@ def _top(x: np.ndarray, trees: int, depth: int, seed: int, spill: float) -> list
     return out
 
 
-def _route(top: list[dict[int, tuple[float, float]]], dim: int, seed: int):
+def _route(tops: dict[int, list[dict[int, tuple[float, float]]]], trees: int, seed: int):
+    """Vectors by length, tree and node; ``tops`` has the thresholds of the lengths that have any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(_matrix(b.column(1), dim))
-            for tree, cuts in enumerate(top):
-                todo = [(1, np.arange(len(x)))]
-                while todo:
-                    path, rows = todo.pop()
-                    if path in cuts:
-                        low, high = cuts[path]
-                        proj = x[rows] @ _plane(seed, tree, path, dim)
-                        todo += [(2 * path, rows[proj <= high]), (2 * path + 1, rows[proj >= low])]
-                    elif len(rows):
-                        data = pa.array([v.tobytes() for v in x[rows]], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tree, np.int32)), pa.array(np.full(len(rows), path, np.int64)), b.column(0).take(pa.array(rows)), data], ["tree", "node", "id", "unit"])
+        for every in batches:
+            dims = every.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                b = every.take(pa.array(np.flatnonzero(dims == dim)))
+                x = _unit(_matrix(b.column(1), dim))
+                for tree, cuts in enumerate(tops.get(dim) or [{}] * trees):
+                    todo = [(1, np.arange(len(x)))]
+                    while todo:
+                        path, rows = todo.pop()
+                        if path in cuts:
+                            low, high = cuts[path]
+                            proj = x[rows] @ _plane(seed, tree, path, dim)
+                            todo += [(2 * path, rows[proj <= high]), (2 * path + 1, rows[proj >= low])]
+                        elif len(rows):
+                            data = pa.array([v.tobytes() for v in x[rows]], pa.binary())
+                            keys = [pa.array(np.full(len(rows), v, t)) for v, t in ((dim, np.int32), (tree, np.int32), (path, np.int64))]
+                            yield pa.RecordBatch.from_arrays([*keys, b.column(0).take(pa.array(rows)), data], ["dim", "tree", "node", "id", "unit"])
 
     return run
 
 
-def _compare(dim: int, seed: int, leaf: int, spill: float, threshold: float):
+def _compare(seed: int, leaf: int, spill: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        tree, node, ids = (t.column(k).to_numpy() for k in range(3))
-        x = np.frombuffer(b"".join(t.column(3).to_pylist()), np.float32).reshape(-1, dim)
-        order = np.lexsort((ids, node, tree))
-        edge = np.append(np.flatnonzero(np.concatenate([[True], (tree[order][1:] != tree[order][:-1]) | (node[order][1:] != node[order][:-1])])), len(order))
+        dim, tree, node, ids = (t.column(k).to_numpy() for k in range(4))
+        unit = t.column(4)
+        order = np.lexsort((ids, node, tree, dim))
+        key = np.stack([dim, tree, node])[:, order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])), len(order))
         for lo, hi in zip(edge[:-1], edge[1:]):
             rows = order[lo:hi]
-            for own in leaves(x[rows], seed, int(tree[rows[0]]), int(node[rows[0]]), leaf, spill):
-                own = rows[np.sort(own)]
+            x = np.frombuffer(b"".join(unit.take(pa.array(rows)).to_pylist()), np.float32).reshape(-1, int(dim[rows[0]]))
+            for own in leaves(x, seed, int(tree[rows[0]]), int(node[rows[0]]), leaf, spill):
+                own = np.sort(own)
                 root = close(x[own], threshold)
                 tied = np.flatnonzero(root != np.arange(len(own)))
                 if len(tied):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[tied]]), pa.array(ids[own[root[tied]]])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[own[tied]]]), pa.array(ids[rows[own[root[tied]]]])], ["a", "b"])
 
     return run
 
@@ -137,25 +143,23 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: in
     """(vec_id, group_id, keep): one row for each distinct id; group_id is the least id of its group of vectors joined by
     cosines of ``threshold`` or more (itself if it has none), and keep is 1 for that one.
 
-    Defined cases: null, empty and zero vectors, those with null, infinite or NaN entries, and those of another length
-    than the most frequent one are groups of their own; equal vectors always share a group; rows that share an id are
+    Defined cases: null, empty and zero vectors and those with null, infinite or NaN entries are groups of their own;
+    vectors of each length are searched by themselves; equal vectors always share a group; rows that share an id are
     one item, grouped by any of its vectors; rows with a null id give no row; other columns are ignored; an empty table
     gives no rows.  The sample for the upper levels is one vector in 200 (10,000 at least)."""
     ids = F.col(f"`{id_col}`").cast("bigint")
     src = vectors.select(ids.alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
     fine = src.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    dim = (fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first() or [1])[0]
-    keyed = fine.where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(seed), "v").alias("h2"))
-    same = save(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")), "vectors")
-    copies = keyed.select("id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select("rep", "id")
-    n = same.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / share))))
-    top: list[dict] = [{} for _ in range(trees)]
-    if depth:
-        sample = same.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(10_000, n // 200)).toPandas()
-        top = _top(_unit(np.array(sample["v"].tolist(), np.float64)), trees, depth, seed, spill)
-    routed = same.select("rep", "v").mapInArrow(_route(top, dim, seed), "tree int, node bigint, id bigint, unit binary").repartition("tree", "node")
-    edges = routed.mapInArrow(_compare(dim, seed, leaf, spill, threshold), "a bigint, b bigint")
+    keyed = fine.select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(seed), "v").alias("h2"))
+    same = save(keyed.groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.first("v").alias("v")), "vectors")
+    copies = keyed.select("id", "dim", "h1", "h2").join(same.select("dim", "h1", "h2", "rep"), ["dim", "h1", "h2"]).where("id <> rep").select("rep", "id")
+    tops: dict[int, list[dict]] = {}
+    for dim, n in same.groupBy("dim").count().collect():
+        if depth := max(0, int(np.ceil(np.log2(n / share)))):
+            sample = same.where(F.col("dim") == dim).select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(10_000, n // 200)).toPandas()
+            tops[dim] = _top(_unit(np.array(sample["v"].tolist(), np.float64)), trees, depth, seed, spill)
+    routed = same.select("rep", "v", "dim").mapInArrow(_route(tops, trees, seed), "dim int, tree int, node bigint, id bigint, unit binary").repartition("dim", "tree", "node")
+    edges = routed.mapInArrow(_compare(seed, leaf, spill, threshold), "a bigint, b bigint")
     group = components(edges.union(copies))
     every = src.select("id").distinct()
     return every.join(group, every.id == group.node, "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"), (F.coalesce("root", "id") == F.col("id")).cast("int").alias("keep"))

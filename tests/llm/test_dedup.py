@@ -336,6 +336,18 @@ def test_embedding_groups_as_by_brute_force(spark, share):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs) and all(want[i] == want[g] for i, g in got.items())
 
 
+@pytest.mark.parametrize("share", [40_000, 20])
+def test_embedding_groups_of_two_lengths(spark, share):
+    rng = np.random.default_rng(15)
+    rows = []
+    for dim, n in ((8, 60), (5, 40)):
+        for _ in range(n):
+            v = rng.standard_normal(dim)
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, v.tolist()), (len(rows) + 2, (v + 0.01).tolist())]
+    got = {r.vec_id: r.group_id for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), share=share, leaf=16).collect()}
+    assert all(got[i] == got[i - i % 3] for i in got) and all((got[i] < 180) == (i < 180) for i in got) and len(got) == 300
+
+
 def test_embedding_groups_on_awkward_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [1.0, 2.0]), (None, v), (10, [2.0, 4.0, 6.0])]
