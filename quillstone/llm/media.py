@@ -71,15 +71,38 @@ def _one(tree: dict, *path: bytes) -> tuple:
     return at
 
 
+def _sizes(buf: bytes, stbl: dict) -> np.ndarray | None:
+    """Sizes of the samples, from the size box or the compact one (fields of 4, 8 or 16 bits); None without either."""
+    if b"stsz" in stbl:
+        at = _one(stbl, b"stsz")
+        (fixed, n) = struct.unpack_from(">II", buf, at[1] + 4)
+        return np.full(n, fixed, np.int64) if fixed else _table(buf, at, ">u4", 12).astype(np.int64)
+    if b"stz2" not in stbl:
+        return None
+    _, body, stop, _ = _one(stbl, b"stz2")
+    if stop - body < 12:
+        raise Broken("a table is cut off")
+    bits, n = struct.unpack_from(">7xBI", buf, body)
+    if bits not in (4, 8, 16):
+        raise Broken(f"sizes of {bits} bits")
+    if body + 12 + -(-n * bits // 8) > stop:
+        raise Broken("a table is cut off")
+    if bits == 4:
+        pair = np.frombuffer(buf, np.uint8, (n + 1) // 2, body + 12)
+        return np.stack([pair >> 4, pair & 15], 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(buf, ">u2" if bits == 16 else np.uint8, n, body + 12).astype(np.int64)
+
+
 def _samples(buf: bytes, stbl: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(offset, size, key) of each sample, and their total time."""
     stts = _table(buf, _one(stbl, b"stts"), ">u4,>u4") if b"stts" in stbl else np.zeros(0, ">u4,>u4")
     time = int((stts["f0"].astype(np.int64) * stts["f1"].astype(np.int64)).sum())
-    if b"stsz" not in stbl:
+    size = _sizes(buf, stbl)
+    if size is None:
+        if time or any(len(_table(buf, stbl[k][0], t)) for k, t in ((b"stco", ">u4"), (b"co64", ">u8")) if k in stbl):
+            raise Broken("no stsz or stz2 box")
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), time
-    at = _one(stbl, b"stsz")
-    (fixed, n) = struct.unpack_from(">II", buf, at[1] + 4)
-    size = np.full(n, fixed, np.int64) if fixed else _table(buf, at, ">u4", 12).astype(np.int64)
+    n = len(size)
     chunks = _table(buf, _one(stbl, b"stco"), ">u4") if b"stco" in stbl else _table(buf, _one(stbl, b"co64"), ">u8")
     chunks = chunks.astype(np.int64)
     runs = _table(buf, _one(stbl, b"stsc"), ">u4,>u4,>u4")

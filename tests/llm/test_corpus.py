@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -253,6 +254,23 @@ def test_damage_is_named_and_never_crashes(number, at, value, cut):
         pass
 
 
+def test_media_with_compact_sizes():
+    payload = b"ab" * 2600
+    buf = media.mux(payload, 0)
+    at = buf.index(b"stsz") - 4
+    (length,) = struct.unpack_from(">I", buf, at)
+    n = (length - 20) // 4
+    sizes = struct.unpack_from(f">{n}I", buf, at + 20)
+    small = media._full("stz2", "II", 16, n, rest=struct.pack(f">{n}H", *sizes))
+    same = buf[:at] + small + media._box("free", bytes(length - len(small) - 8)) + buf[at + length :]
+    assert media.tracks(same) == media.tracks(buf) and media.tracks(buf)[0]["samples"] == 11
+    with pytest.raises(media.Broken):
+        media.tracks(buf.replace(b"stsz", b"free"))
+    for bits, rest in ((4, bytes([0x12, 0x3F, 0x50])), (8, bytes([1, 2, 3, 15, 5])), (16, struct.pack(">5H", 1, 2, 3, 15, 5))):
+        box = media._full("stz2", "II", bits, 5, rest=rest)
+        assert media._sizes(box, media._tree(box, 0, len(box))).tolist() == [1, 2, 3, 15, 5]
+
+
 def test_media_on_awkward_rows(spark):
     good = media.mux(b"abc" * 900, 1)
     large = media._box("free") + media._full("uuid", "I", 1, rest=bytes(16)) + good
