@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
 
-COMPACT = ("id", "type", "claim_type", "author", "at", "tag_names", "subject", "pattern_id", "session_id", "in_reply_to", "fork_of", "ephemeral")
+COMPACT = ("id", "type", "claim_type", "author", "at", "tag_names", "subject", "pattern_id", "session_id", "in_reply_to", "fork_of", "ephemeral")  # all but the body
 
 
 def tags_all(wanted: list[str], column: str = "tag_names") -> Column:
@@ -72,10 +72,12 @@ class Page:
     next_cursor: tuple[str, str] | None
 
 
-def page(evidence: DataFrame, limit: int | str | None = None, cursor: tuple[str, str] | None = None, **filters) -> Page:
-    """A newest-first page and the cursor of the next one (present where the page is full, so the next may be empty)."""
+def page(evidence: DataFrame, limit: int | str | None = None, cursor: tuple[str, str] | None = None, whole: bool = True, **filters) -> Page:
+    """A newest-first page, of whole or compact entries, and the cursor of the next one (present where the page is full, so
+    the next may be empty)."""
     n = names.limit(limit, 100, 1000, layered=False)
     rows = select(evidence, **filters)
+    rows = rows if whole else compact(rows)
     if cursor:
         rows = rows.where(after_cursor(*cursor))
     rows = newest(rows, n)
@@ -83,6 +85,11 @@ def page(evidence: DataFrame, limit: int | str | None = None, cursor: tuple[str,
     return Page(rows, len(keys), n, (keys[-1].at, keys[-1].id) if len(keys) == n else None)
 
 
+def compact(evidence: DataFrame) -> DataFrame:
+    """Entries without their bodies, which are then not read."""
+    return evidence.select(*COMPACT)
+
+
 def count(evidence: DataFrame, **filters) -> DataFrame:
     return select(evidence, **filters).agg(F.count("*").alias("count"))
 
@@ -100,24 +107,44 @@ def sessions_page(evidence: DataFrame, limit: int | None = None, **filters) -> t
     return rows.orderBy(F.desc("latest_at"), F.desc("session_id")).limit(names.limit(limit, 100, 5000)), total
 
 
-def chain(evidence: DataFrame, ident: str, depth: int = 100) -> DataFrame:
+STEPS = 32
+
+
+def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
     """The entry ``ident`` and what it replies to, root first (column ``depth`` counts from the root); a cycle or a missing
-    parent ends it, an unknown id gives no rows."""
-    spark = evidence.sparkSession
-    if depth > int(spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")):
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", str(depth))
-    links = evidence.select("id", "in_reply_to")
-    found = spark.sql(
-        """with recursive up(id, parent, n, seen) as (
-             select id, in_reply_to, 0, array(id) from {links} where id = :ident
+    parent ends it, an unknown id gives no rows.
+
+    The first ``steps`` replies are followed one by one, which joins a single row each time; what is left of a longer
+    thread by doubling: round k joins the ancestors so far with the links of 2**k steps, so a million replies take twenty
+    rounds more, each written to the shared folder."""
+    from ..sources.scratch import save
+
+    links = evidence.select("id", F.col("in_reply_to").alias("up"))
+    near = links.sparkSession.sql(
+        """with recursive walk(id, up, n, seen) as (
+             select id, up, 0, array(id) from {links} where id = :ident
              union all
-             select l.id, l.in_reply_to, up.n + 1, array_append(up.seen, l.id) from up join {links} l on l.id = up.parent where not array_contains(up.seen, l.id))
-           select id, n from up""",
-        args={"ident": ident},
+             select l.id, l.up, walk.n + 1, array_append(walk.seen, l.id) from walk join {links} l on l.id = walk.up where walk.n < :steps and not array_contains(walk.seen, l.id))
+           select id, up, n from walk""",
+        args={"ident": ident, "steps": steps},
         links=links,
     )
-    top = found.agg(F.max("n").alias("top"))
-    return evidence.join(found.crossJoin(top).select("id", (F.col("top") - F.col("n")).alias("depth")), "id").orderBy("depth")
+    found = save(near.select("id", F.col("n").cast("bigint").alias("n")), "chain")
+    if found.where(F.col("n") == steps).limit(1).count():
+        jump, width, size = save(links.where("up is not null"), "jump"), 1, 0
+        found = found.where("n = 0")
+        while True:
+            more = found.join(jump, "id").select(F.col("up").alias("id"), (F.col("n") + width).alias("n"))
+            found = save(found.union(more).groupBy("id").agg(F.min("n").alias("n")), "chain")
+            now = found.count()
+            if now == size:
+                break
+            size, width = now, 2 * width
+            far = jump.toDF("mid", "far")
+            jump = save(jump.join(far, F.col("up") == F.col("mid")).select("id", F.col("far").alias("up")), "jump")
+    known = evidence.join(found, "id")
+    top = found.join(evidence.select("id"), "id", "left_semi").agg(F.max("n").alias("top"))
+    return known.crossJoin(F.broadcast(top)).withColumn("depth", F.col("top") - F.col("n")).drop("top", "n").orderBy("depth")
 
 
 def roots(evidence: DataFrame) -> DataFrame:

@@ -20,7 +20,10 @@ def components(edges: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def build(edges: DataFrame, evidence: DataFrame, ceiling: int = CEILING) -> DataFrame:
     """The projection's rows, refused above its hard ceiling."""
-    rows = components(edges, evidence)
+    return within(components(edges, evidence), ceiling)
+
+
+def within(rows: DataFrame, ceiling: int = CEILING) -> DataFrame:
     if rows.limit(ceiling + 1).count() > ceiling:
         raise BadRequest("projection-too-large", ceiling=ceiling)
     return rows

@@ -19,16 +19,21 @@ def _when(value) -> Column:
     return F.lit(value.replace(tzinfo=None) if isinstance(value, datetime) else value)
 
 
-def as_of(log: DataFrame, valid=None, system=None, key: str = "id") -> DataFrame:
-    """The documents that hold at valid time ``valid`` by what was written up to ``system``; None is now and latest.
-    One aggregation by id: the winner is a maximum, so partial results combine before the shuffle."""
+def covering(log: DataFrame, valid=None, system=None) -> DataFrame:
+    """The operations written up to ``system`` whose interval covers ``valid``.  None is now and latest."""
     kind = log.schema["valid_from"].dataType.simpleString()
     now = F.current_timestamp().cast(kind) if valid is None else _when(valid).cast(kind)
     seen = log if system is None else log.where(F.col("system_time") <= _when(system).cast(log.schema["system_time"].dataType.simpleString()))
-    covers = (F.col("valid_from") <= now) & (F.col("valid_to").isNull() | (now < F.col("valid_to")))
+    return seen.where((F.col("valid_from") <= now) & (F.col("valid_to").isNull() | (now < F.col("valid_to"))))
+
+
+def as_of(log: DataFrame, valid=None, system=None, key: str = "id") -> DataFrame:
+    """The documents that hold at valid time ``valid`` by what was written up to ``system``.
+    One aggregation by id: the winner is a maximum, so partial results combine before the shuffle; conditions on the key
+    pass below it."""
     rest = [c for c in log.columns if c not in LOG and c != key]
     last = F.max_by(F.struct("op", *rest), F.struct("system_time", "ordinal"))
-    return seen.where(covers).groupBy(key).agg(last.alias("last")).where("last.op = 'put'").select(key, *[F.col(f"last.{c}").alias(c) for c in rest])
+    return covering(log, valid, system).groupBy(key).agg(last.alias("last")).where("last.op = 'put'").select(key, *[F.col(f"last.`{c}`").alias(c) for c in rest])
 
 
 def current(log: DataFrame, key: str = "id") -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.errors import BadRequest
 
-STOP_WORDS = sorted("their there these into such that then they this will with and are but for not the was an as at be by if in is it no of on or to a".split(), reverse=True)
+STOP_WORDS = sorted("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 K1, B = 1.2, 0.75
 
 
@@ -25,18 +25,25 @@ def word_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{IsAlphabetic}\p{IsDigit}]+"), lambda t: F.length(t) >= 2))
 
 
-def folded_tokens(c: Column) -> Column:
-    """Runs of letters and digits, case folded and without diacritics."""
+@cache
+def _bare() -> tuple[str, str]:
+    """Characters with diacritics and what they are without; combining diacritics at the end, which have nothing."""
+    marks = {chr(k) for k in range(0x300, 0x370)}
+    pairs = [(c, d[0]) for c in map(chr, range(0x80, 0xFFFF)) if c not in marks and len(d := unicodedata.normalize("NFD", c)) > 1 and marks.issuperset(d[1:])]
+    return "".join(c for c, _ in pairs) + "".join(sorted(marks)), "".join(d for _, d in pairs)
 
-    def one(t):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", (t or "").casefold()) if not unicodedata.combining(x))
-        return re.findall(r"[^\W_]+", plain)
 
-    @pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+def fold(text: str) -> list[str]:
+    """Tokens of a query, as ``folded_tokens`` has them."""
+    have, bare = _bare()
+    table = {ord(c): bare[k] if k < len(bare) else None for k, c in enumerate(have)}
+    return re.findall(r"[^\W_]+", text.lower().translate(table))
 
-    return tokens(c)
+
+def folded_tokens(c: Column, least: int = 1) -> Column:
+    """Runs of letters and digits of any script, lower case and without diacritics, in order."""
+    have, bare = _bare()
+    return F.filter(F.split(F.translate(F.lower(c), have, bare), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= least)
 
 
 def body_text(body: Column) -> Column:
@@ -44,9 +51,17 @@ def body_text(body: Column) -> Column:
     return F.coalesce(body, F.lit(""))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", least: int = 2) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", least: int = 2, tokens: Callable[..., Column] = ascii_tokens) -> DataFrame:
     """(id, token, tf)."""
-    return docs.select(id_col, F.explode(ascii_tokens(F.col(text_col), least)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
+    return docs.select(id_col, F.explode(tokens(F.col(text_col), least)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
+
+
+def index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings with places (token, id, tf, places, dl) and documents with their length (id, dl), for ``search_index``."""
+    toks = docs.select(F.col(id_col).alias("id"), folded_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
+    each = toks.select("id", F.size("toks").alias("dl"), F.posexplode("toks").alias("place", "token"))
+    posts = each.groupBy("token", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"), F.first("dl").alias("dl"))
+    return posts, toks.select("id", F.size("toks").alias("dl"))
 
 
 def parse_match(query: str) -> list[list[list[str]]]:
@@ -65,7 +80,7 @@ def parse_match(query: str) -> list[list[list[str]]]:
             if w == "OR":
                 any_.append([])
             continue
-        phrase = [t for t in re.split("[^a-z0-9]+", w.lower()) if t]
+        phrase = fold(w)
         if phrase:
             any_[-1].append(phrase)
         operator = False
@@ -94,14 +109,14 @@ def matches(tokens: Column, match: list[list[list[str]]]) -> Column:
     return out
 
 
-def search(docs: DataFrame, query: str, limit: int | None = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int | None = 10, id_col: str = "id", text_col: str = "text", tokens: Callable[..., Column] = folded_tokens) -> DataFrame:
     """Documents that match, with their BM25 score (lower is better), best first.
 
     One scan: documents that match carry their term counts on; the corpus figures (documents, mean length, document
     frequencies) are one aggregation that is joined back as a single row."""
     match = parse_match(query)
     words = terms(match)
-    toks = docs.select("*", ascii_tokens(F.col(text_col)).alias("toks"))
+    toks = docs.select("*", tokens(F.col(text_col)).alias("toks"))
     tf = [F.size(F.filter("toks", (lambda w: lambda t: t == w)(w))) for w in words]
     figures = toks.select(F.size("toks").alias("dl"), *[F.array_contains("toks", w).cast("int").alias(f"d{k}") for k, w in enumerate(words)])
     figures = figures.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{k}").alias(f"df{k}") for k in range(len(words))])
@@ -115,21 +130,50 @@ def search(docs: DataFrame, query: str, limit: int | None = 10, id_col: str = "i
     return out if limit is None else out.limit(limit)
 
 
-def search_postings(posts: DataFrame, lengths: DataFrame, query: str, limit: int | None = 10, id_col: str = "id") -> DataFrame:
-    """The same ranking from kept postings (id, token, tf) and lengths (id, dl); phrases count as all their words."""
-    match = [[[t] for p in a for t in p] for a in parse_match(query)]
-    words = terms(match)
-    mine = posts.where(F.col("token").isin(words))
+def _weighed(mine: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Postings of a query's tokens with the corpus figures they are scored by, one row a token and one row in all."""
     df = mine.groupBy("token").agg(F.count("*").alias("df"))
     all_ = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rows = mine.join(F.broadcast(df), "token").crossJoin(F.broadcast(all_)).join(lengths, id_col)
+    return mine.join(F.broadcast(df), "token").crossJoin(F.broadcast(all_))
+
+
+def _score() -> Column:
     part = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = rows.groupBy(id_col).agg(F.collect_set("token").alias("toks"), (-F.sum(part)).alias("score")).where(matches(F.col("toks"), match))
+    return (-F.sum(part)).alias("score")
+
+
+def search_postings(posts: DataFrame, lengths: DataFrame, query: str, limit: int | None = 10, id_col: str = "id") -> DataFrame:
+    """The same ranking from kept postings (id, token, tf) and lengths (id, dl); phrases count as all their words."""
+    match = [[[t] for p in a for t in p] for a in parse_match(query)]
+    rows = _weighed(posts.where(F.col("token").isin(terms(match))), lengths).join(lengths, id_col)
+    out = rows.groupBy(id_col).agg(F.collect_set("token").alias("toks"), _score()).where(matches(F.col("toks"), match))
     out = out.select(id_col, "score").orderBy("score", id_col)
     return out if limit is None else out.limit(limit)
 
 
-def index_stats(docs: DataFrame, posts: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows, rows with postings and the last time."""
-    done = posts.select(id_col).distinct().agg(F.count("*").alias("indexed"))
-    return docs.agg(F.count("*").alias("rows"), F.max("at").alias("last_at")).crossJoin(done)
+def search_index(posts: DataFrame, lengths: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
+    """(id, score) from an ``index``: only the query's tokens are read, and phrases are held against their places."""
+    match = parse_match(query)
+    rows = _weighed(posts.where(F.col("token").isin(terms(match))), lengths)
+    out = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"), _score())
+
+    def phrase(p: list[str]) -> Column:
+        begin = F.try_element_at("at", F.lit(p[0]))
+        for k, t in enumerate(p[1:], 1):
+            begin = F.array_intersect(begin, F.transform(F.try_element_at("at", F.lit(t)), (lambda k: lambda x: x - k)(k)))
+        return F.coalesce(F.size(begin) > 0, F.lit(False))
+
+    held = F.lit(False)
+    for a in match:
+        every = F.lit(True)
+        for p in a:
+            every = every & phrase(p)
+        held = held | every
+    out = out.where(held).select("id", "score").orderBy("score", "id")
+    return out if limit is None else out.limit(limit)
+
+
+def index_stats(docs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Rows, rows in the index, rows that wait for it, tokens, and the last time."""
+    held = docs.select("id", "at").join(lengths, "id", "left")
+    return held.agg(F.count("*").alias("rows"), F.count("dl").alias("indexed"), F.count(F.when(F.col("dl").isNull(), 1)).alias("pending"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"), F.max("at").alias("last_at"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("evidence", "graph", "temporal", "text", "writes")
+MODULES = ("evidence", "graph", "temporal", "text", "writes", "served")
 
 
 def load() -> None:

@@ -10,7 +10,7 @@ from ..sources.adapters import evidence, read
 from .models import EV, POST
 from .registry import query
 
-TOKS = "d as (select *, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 1) as toks from documents)"
+TOKS = r"d as (select *, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: len(t) >= 1) as toks from documents)"
 
 
 def ids(rows):
@@ -41,6 +41,11 @@ def txt_search_phrase(spark, d):
     return ids(x.search(documents(spark, d), "by-nc OR version-2.0", None, "doc_id"))
 
 
+@query(f"with {TOKS} select doc_id from d where list_has_all(toks, ['fur', 'uber']) or list_contains(toks, 'espanol') or contains(' ' || array_to_string(toks, ' ') || ' ', ' el ano ')")
+def txt_search_accents(spark, d):
+    return ids(x.search(documents(spark, d), "FÜR über OR Español OR el-año", None, "doc_id"))
+
+
 @query(f"with {TOKS} select doc_id, lang, source from d where list_contains(toks, 'the') and lang = 'en' and source = 'src3'")
 def txt_search_filtered(spark, d):
     return x.search(documents(spark, d), "the", None, "doc_id").where("lang = 'en' and source = 'src3'").select("doc_id", "lang", "source")
@@ -60,8 +65,8 @@ def txt_bm25_topk(spark, d):
 @query(f"with {TOKS}{BM25.replace(' limit 10', '')}")
 def txt_bm25_postings(spark, d):
     docs = documents(spark, d)
-    toks = docs.select("doc_id", x.ascii_tokens(F.col("text")).alias("toks"))
-    posts = x.postings(docs, "doc_id", least=1)
+    toks = docs.select("doc_id", x.folded_tokens(F.col("text")).alias("toks"))
+    posts = x.postings(docs, "doc_id", least=1, tokens=x.folded_tokens)
     return x.search_postings(posts, toks.select("doc_id", F.size("toks").alias("dl")), "idiot OR clown", None, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
