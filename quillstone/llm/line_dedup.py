@@ -12,6 +12,7 @@ before).  Beyond that every line's hash goes to the exact shuffle, with the same
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,58 +20,80 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import fresh, save
-from ._text import U, mix, pieces, strings
-
-BITS, HASHES, SEGMENT = 16, 4, 1 << 20  # bits a line, bits set by a line, bits of a segment
-
-
-def split(text: str | None) -> list[str]:
-    return [] if text is None else text.split("\n")
-
-
-def digest(lines: list[str]) -> np.ndarray:
-    """(n, 2) 128-bit hashes of lines."""
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), ">u8").reshape(-1, 2).astype(np.uint64)
-
-
-def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each line, line number, hashes) of the lines that aren't blank."""
-    offsets, _ = strings(texts)
-    for lo, hi in pieces(offsets, 4 << 20):
-        row, number, kept = [], [], []
-        for r, t in enumerate(texts.slice(lo, hi - lo).to_pylist()):
-            for i, x in enumerate(split(t)):
-                if x.strip():
-                    row.append(r)
-                    number.append(i)
-                    kept.append(x)
-        yield lo, hi - lo, np.array(row, np.int64), np.array(number, np.int64), digest(kept)
+from ._text import BASE, BYTE, CHUNK, SPACE, U, _powers, mix, pieces, strings
+
+BITS, HASHES, SEGMENT_BITS = 16, 4, 20  # bits a line, bits set by a line, bits of a segment (their logarithm)
+SEGMENT = 1 << SEGMENT_BITS
+
+
+@dataclass
+class Lines:
+    """Lines of documents lo..hi-1 of a batch that aren't blank: whose each is, its number there, its bytes and a hash."""
+
+    lo: int
+    hi: int
+    row: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    data: np.ndarray
+    hash: np.ndarray
+
+    def digest(self, pick: np.ndarray) -> np.ndarray:
+        """(n, 2) 128-bit hashes of some of the lines."""
+        view = memoryview(self.data)
+        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(self.start[pick].tolist(), self.end[pick].tolist())), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def lines(texts: pa.Array) -> Iterator[Lines]:
+    """Lines are what "\\n" separates; one of ASCII white space alone is blank.  A few hundred kilobytes at a time."""
+    offsets, data = strings(texts)
+    for lo, hi in pieces(offsets, CHUNK):
+        own = data[int(offsets[lo]) : int(offsets[hi])]
+        at = (offsets[lo : hi + 1] - offsets[lo]).astype(np.int64)
+        cut = np.flatnonzero(own == 10)
+        start, end = np.sort(np.concatenate([at[:-1], cut + 1])), np.sort(np.concatenate([cut, at[1:]]))
+        count = np.diff(np.searchsorted(cut, at)) + 1
+        row = np.repeat(np.arange(hi - lo), count)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        solid = np.concatenate([[0], np.cumsum(~SPACE[own])])
+        keep = np.flatnonzero(solid[end] > solid[start])
+        start, end = start[keep], end[keep]
+        up, down = _powers(BASE, len(own) + 1)
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(BYTE[own] * up[: len(own)], out=total[1:])
+        yield Lines(lo, hi, row[keep], number[keep], start, end, own, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
 
 
 def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment of each hash and its bits there."""
-    seg = ((h[:, 0] >> U(32)) * U(segments)) >> U(32)
-    step = h[:, 1] | U(1)
-    at = np.stack([mix(h[:, 1] + U(i) * step) & U(SEGMENT - 1) for i in range(HASHES)], 1)
+    seg = ((h >> U(32)) * U(segments)) >> U(32)
+    low = mix(h ^ U(0x5851F42D4C957F2D))
+    step = mix(low) | U(1)
+    at = np.stack([(low + U(i) * step) >> U(64 - SEGMENT_BITS) for i in range(HASHES)], 1)
     return seg.astype(np.int64), at.astype(np.int64)
 
 
 def _filters(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [h for b in batches for _, _, _, _, h in _hashed(b.column(0))]
-        h = np.concatenate(seen) if seen else np.zeros((0, 2), np.uint64)
+        seen = [x.hash for b in batches for x in lines(b.column(0))]
+        h = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+        del seen
         if not len(h):
             return
-        seg, at = _places(h, segments)
-        order = np.argsort(seg, kind="stable")
-        seg, at, h = seg[order], at[order], h[order]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])), len(seg))
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-            _, one, count = np.unique(h[lo:hi], axis=0, return_index=True, return_counts=True)
-            once[at[lo:hi].ravel()] = True
-            twice[at[lo:hi][one[count > 1]].ravel()] = True
-            yield pa.RecordBatch.from_arrays([pa.array([int(seg[lo])]), pa.array([_press(once)], pa.binary()), pa.array([_press(twice)], pa.binary())], ["segment", "once", "twice"])
+        one = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        again = np.diff(np.append(one, len(h))) > 1
+        h = h[one]
+        edge = np.searchsorted(h, [-(-(k << 64) // segments) for k in range(1, segments)]) if segments > 1 else []
+        edge = np.concatenate([[0], edge, [len(h)]]).astype(np.int64)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            seg, at = _places(h[edge[k] : edge[k + 1]], segments)
+            both = again[edge[k] : edge[k + 1]]
+            for s in np.unique(seg).tolist():  # a rounding apart from k at most
+                once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
+                once[at[seg == s].ravel()] = True
+                twice[at[(seg == s) & both].ravel()] = True
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([_press(once)], pa.binary()), pa.array([_press(twice)], pa.binary())], ["segment", "once", "twice"])
 
     return run
 
@@ -111,25 +134,33 @@ def _suspects(filters, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if filters is None else filters.value
         for b in batches:
-            for lo, n, row, number, h in _hashed(b.column(1)):
-                if bits is not None and len(h):
-                    seg, at = _places(h, segments)
-                    held = np.ones(len(h), bool)
+            for x in lines(b.column(1)):
+                pick = np.arange(len(x.hash))
+                if bits is not None and len(pick):
+                    seg, at = _places(x.hash, segments)
+                    held = np.ones(len(pick), bool)
                     for i in range(HASHES):
                         p = at[:, i]
                         held &= (bits[seg, p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-                    row, number, h = row[held], number[held], h[held]
-                who = b.column(0).slice(lo, n).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([who, pa.array(number, pa.int32()), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64))], ["who", "line", "h1", "h2"])
+                    pick = np.flatnonzero(held)
+                h = x.digest(pick)
+                who = b.column(0).slice(x.lo, x.hi - x.lo).take(pa.array(x.row[pick]))
+                yield pa.RecordBatch.from_arrays([who, pa.array(x.number[pick].astype(np.int32)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64))], ["who", "line", "h1", "h2"])
 
     return run
 
 
+def _breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        offsets, data = strings(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows + int(np.count_nonzero(data[int(offsets[0]) : int(offsets[-1])] == 10))])], ["n"])
+
+
 def removals(docs: DataFrame, filter_mb: int = 256) -> DataFrame:
     """(doc_id, seal, lines): numbers of the lines that repeat an earlier one, for the documents that have such;
     seal is the hash of the whole text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
-    n = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    n = docs.select("text").mapInArrow(_breaks, "n bigint").agg(F.sum("n")).first()[0] or 0
     segments = max(1, -(-int(n) * BITS // SEGMENT))
     filters = None
     if segments * SEGMENT // 8 <= filter_mb << 20:
@@ -153,13 +184,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``counts`` also lines_in and lines_out, which replace input columns of these names.
 
     Lines are what "\\n" separates, compared whole.  Blank lines are never repeats and stay.  Defined cases: a null text
-    stays null (0 lines); an empty text is one blank line; a null doc_id comes after all others; rows equal in doc_id
+    stays null (0 lines); an empty text is one blank line; a null doc_id (or one that is no integer) comes after all others; rows equal in doc_id
     and text are one document, which may appear in several rows; rows of one doc_id with other texts are other
     documents, in an order of their own; all other columns pass through unchanged; an empty table gives no rows."""
     if counts:
         docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lines_in", "lines_out")])
     key, seal, lines, parts, kept, out = fresh(docs, "key", "seal", "lines", "parts", "kept", "out")
-    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("bigint")
+    text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").try_cast("bigint")
     base = docs.select(ident.alias("doc_id"), text.cast("string").alias("text"))
     gone = removals(base, filter_mb).toDF(key, seal, lines)
     held = docs.join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col(key)) & (F.xxhash64(text.cast("string")) == F.col(seal)), "left")
