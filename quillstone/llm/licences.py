@@ -8,7 +8,7 @@ one document must all be acceptable."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +29,7 @@ NOTICES = {
 ALLOWED = frozenset("Apache-2.0 MIT ISC Zlib BSL-1.0 BSD-2-Clause BSD-3-Clause 0BSD CC-BY-4.0 CC0-1.0 Unlicense MPL-2.0 Python-2.0 MIT-0".split())
 ALLOWED_WITH = frozenset({("GPL-2.0-only", "Classpath-exception-2.0"), ("GPL-2.0-or-later", "Classpath-exception-2.0"), ("GPL-3.0-or-later", "GCC-exception-3.1")})
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.\-:]+\+?)")
-_LINE = re.compile(re.escape(TAG) + r"[ \t]*([^\r\n]*)", re.I)
+_LINE = re.compile(r"(?<![^\W_])" + re.escape(TAG) + r"[ \t]*([^\r\n]*)", re.I)  # at a word boundary, as the automaton has it
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 
 
@@ -107,7 +107,7 @@ def automaton(notices: dict[str, str] = NOTICES) -> ahocorasick.Automaton:
     return a
 
 
-def scan(text: str | None, a: ahocorasick.Automaton) -> tuple[int, int, str, str, str, int]:
+def scan(text: str | None, a: ahocorasick.Automaton, allowed: frozenset = ALLOWED, allowed_with: frozenset = ALLOWED_WITH) -> tuple[int, int, str, str, str, int]:
     """(tags, notices, licences, expression, verdict, allowed) of one text."""
     if not text:
         return 0, 0, "", "", "none", 1
@@ -127,7 +127,7 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> tuple[int, int, str, str
     names, ok, bad, edge, notices = [], True, False, -1, []
     for t in terms:
         try:
-            good, found = evaluate(t)
+            good, found = evaluate(t, allowed, allowed_with)
             ok &= good
             names += found
         except Invalid:
@@ -136,32 +136,39 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> tuple[int, int, str, str
         if begin > edge:
             edge = -end
             notices.append(name)
-            ok &= name in ALLOWED
+            ok &= name in allowed
     names += notices
     clauses = list(dict.fromkeys([f"({t})" if " " in t else t for t in terms] + notices))
     verdict = "invalid" if bad else "allowed" if ok else "restricted"
     return len(terms), len(notices), ",".join(sorted(set(names))), " AND ".join(clauses), verdict, int(ok and not bad)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = automaton()
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-    for b in batches:
-        texts = b.column(1)
-        rows = [scan(texts[k].as_py(), a) for k in range(b.num_rows)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "tags", "notices", "licences", "expression", "verdict", "allowed"])
+def _scan(notices: dict[str, str], allowed: frozenset, allowed_with: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton(notices)
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+        for b in batches:
+            texts = b.column(1)
+            rows = [scan(texts[k].as_py(), a, allowed, allowed_with) for k in range(b.num_rows)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "tags", "notices", "licences", "expression", "verdict", "allowed"])
 
+    return run
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def scan_licences(docs: DataFrame, notices: dict[str, str] | None = None, allowed: Iterable[str] = ALLOWED, allowed_with: Iterable[tuple[str, str]] = ALLOWED_WITH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: tags and notices found (their numbers), the licences they name (sorted, joined
     by commas), the clauses joined by AND, the verdict (none, allowed, restricted, invalid) and allowed (1 or 0).
 
+    ``notices`` gives phrases (in lower case, single spaces) and the licence each names, ``allowed`` the acceptable licences
+    and ``allowed_with`` further pairs of a licence and its exception.
+
     Defined cases: a null or empty text has verdict none and is allowed; an expression that doesn't parse makes the
-    document invalid and not allowed; ids may be null or repeated; other columns are ignored; an empty table gives no
-    rows.  Whole texts are scanned, whatever their length, in one pass without a shuffle."""
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return src.mapInArrow(_scan, "doc_id bigint, tags int, notices int, licences string, expression string, verdict string, allowed int")
+    document invalid and not allowed; ids may be null or repeated, and of any type; other columns are ignored; an empty
+    table gives no rows.  Whole texts are scanned, whatever their length, in one pass without a shuffle."""
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return src.mapInArrow(_scan(NOTICES if notices is None else notices, frozenset(allowed), frozenset(allowed_with)), f"doc_id {kind}, tags int, notices int, licences string, expression string, verdict string, allowed int")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -41,13 +41,32 @@ def boxes(buf: bytes, begin: int, end: int) -> Iterator[tuple[bytes, int, int, i
         begin += size
 
 
-def _tree(buf: bytes, begin: int, end: int, depth: int = 0) -> dict[bytes, list]:
-    if depth > 32:
-        raise Broken("boxes nest too deep")
-    out: dict[bytes, list] = {}
-    for kind, at, body, stop in boxes(buf, begin, end):
-        out.setdefault(kind, []).append((at, body, stop, _tree(buf, body, stop, depth + 1) if kind in NESTED else None))
-    return out
+def _tree(buf: bytes, begin: int, end: int) -> dict[bytes, list]:
+    """Boxes of a range by type, nested to any depth."""
+    root: dict[bytes, list] = {}
+    todo = [(root, begin, end)]
+    while todo:
+        out, lo, hi = todo.pop()
+        for kind, at, body, stop in boxes(buf, lo, hi):
+            inner = {} if kind in NESTED else None
+            out.setdefault(kind, []).append((at, body, stop, inner))
+            if inner is not None:
+                todo.append((inner, body, stop))
+    return root
+
+
+class Room:
+    """How many samples a file can still have: each takes a byte or more, so a count in a damaged table asks for no more
+    memory than the file's size explains."""
+
+    def __init__(self, size: int):
+        self.left = size
+
+    def take(self, n: int) -> int:
+        if n > self.left:
+            raise Broken("more samples than bytes")
+        self.left -= n
+        return n
 
 
 def _table(buf: bytes, at: tuple, kind: str, head: int = 8) -> np.ndarray:
@@ -71,12 +90,12 @@ def _one(tree: dict, *path: bytes) -> tuple:
     return at
 
 
-def _sizes(buf: bytes, stbl: dict) -> np.ndarray | None:
+def _sizes(buf: bytes, stbl: dict, room: Room | None = None) -> np.ndarray | None:
     """Sizes of the samples, from the size box or the compact one (fields of 4, 8 or 16 bits); None without either."""
     if b"stsz" in stbl:
         at = _one(stbl, b"stsz")
         (fixed, n) = struct.unpack_from(">II", buf, at[1] + 4)
-        return np.full(n, fixed, np.int64) if fixed else _table(buf, at, ">u4", 12).astype(np.int64)
+        return np.full((room or Room(len(buf))).take(n), fixed, np.int64) if fixed else _table(buf, at, ">u4", 12).astype(np.int64)
     if b"stz2" not in stbl:
         return None
     _, body, stop, _ = _one(stbl, b"stz2")
@@ -93,11 +112,12 @@ def _sizes(buf: bytes, stbl: dict) -> np.ndarray | None:
     return np.frombuffer(buf, ">u2" if bits == 16 else np.uint8, n, body + 12).astype(np.int64)
 
 
-def _samples(buf: bytes, stbl: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _samples(buf: bytes, stbl: dict, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(offset, size, key) of each sample, and their total time."""
     stts = _table(buf, _one(stbl, b"stts"), ">u4,>u4") if b"stts" in stbl else np.zeros(0, ">u4,>u4")
-    time = int((stts["f0"].astype(np.int64) * stts["f1"].astype(np.int64)).sum())
-    size = _sizes(buf, stbl)
+    each = stts["f0"].astype(np.uint64) * stts["f1"].astype(np.uint64)
+    time = (int((each >> np.uint64(32)).sum()) << 32) + int((each & np.uint64(0xFFFFFFFF)).sum())
+    size = _sizes(buf, stbl, room)
     if size is None:
         if time or any(len(_table(buf, stbl[k][0], t)) for k, t in ((b"stco", ">u4"), (b"co64", ">u8")) if k in stbl):
             raise Broken("no stsz or stz2 box")
@@ -106,14 +126,16 @@ def _samples(buf: bytes, stbl: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray
     chunks = _table(buf, _one(stbl, b"stco"), ">u4") if b"stco" in stbl else _table(buf, _one(stbl, b"co64"), ">u8")
     chunks = chunks.astype(np.int64)
     runs = _table(buf, _one(stbl, b"stsc"), ">u4,>u4,>u4")
-    first = np.append(runs["f0"].astype(np.int64), len(chunks) + 1)
-    per = np.repeat(runs["f1"].astype(np.int64), np.maximum(np.diff(first), 0))[: len(chunks)]
+    first = np.minimum(np.append(runs["f0"].astype(np.int64), len(chunks) + 1), len(chunks) + 1)
+    if (np.diff(first) < 0).any():
+        raise Broken("chunk runs out of order")
+    per = np.repeat(runs["f1"].astype(np.int64), np.diff(first))[: len(chunks)]
     if per.sum() < n:
         raise Broken("fewer samples in chunks than sizes")
-    chunk = np.repeat(np.arange(len(per)), per)[:n]
+    start = np.minimum(np.concatenate([[0], np.cumsum(per)]), n)  # what chunks promise beyond the sizes isn't there
+    chunk = np.repeat(np.arange(len(per)), np.diff(start))
     before = np.concatenate([[0], np.cumsum(size)])
-    start = np.concatenate([[0], np.cumsum(per)])[:-1]
-    offset = chunks[chunk] + before[:-1] - before[np.minimum(start[chunk], n)]
+    offset = chunks[chunk] + before[:-1] - before[start[chunk]]
     key = np.ones(n, bool)
     if b"stss" in stbl:
         key[:] = False
@@ -122,7 +144,7 @@ def _samples(buf: bytes, stbl: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return offset, size, key, time
 
 
-def _fragment(buf: bytes, moof: tuple, extends: dict[int, tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+def _fragment(buf: bytes, moof: tuple, extends: dict[int, tuple], room: Room) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(track, offset, size, key, time) of the runs of one movie fragment."""
     for traf in moof[3].get(b"traf", []):
         tfhd = _one(traf[3], b"tfhd")[1]
@@ -151,6 +173,7 @@ def _fragment(buf: bytes, moof: tuple, extends: dict[int, tuple]) -> Iterator[tu
                 (first,) = struct.unpack_from(">I", buf, at)
                 at += 4
             cols = [bit for bit in (0x100, 0x200, 0x400, 0x800) if tf & bit]
+            room.take(n)
             if at + 4 * n * len(cols) > trun[2]:
                 raise Broken("a run is cut off")
             rows = np.frombuffer(buf, ">u4", n * len(cols), at).reshape(n, len(cols)).astype(np.int64)
@@ -160,7 +183,7 @@ def _fragment(buf: bytes, moof: tuple, extends: dict[int, tuple]) -> Iterator[tu
             if first is not None and n:
                 marks[0] = first
             offset = ahead + np.concatenate([[0], np.cumsum(size)])
-            yield track, offset[:-1], size, (marks & 0x10000) == 0, int(pick.get(0x100, np.full(n, given[0])).sum())
+            yield track, offset[:-1], size, (marks & 0x10000) == 0, int(pick[0x100].sum()) if 0x100 in pick else n * given[0]
             ahead = int(offset[-1])
 
 
@@ -169,7 +192,7 @@ def tracks(buf: bytes | None) -> list[dict]:
     if not buf:
         return []
     try:
-        root = _tree(buf, 0, len(buf))
+        root, room = _tree(buf, 0, len(buf)), Room(len(buf))
         moov = _one(root, b"moov")[3]
         extends = {}
         for mvex in moov.get(b"mvex", []):
@@ -187,10 +210,10 @@ def tracks(buf: bytes | None) -> list[dict]:
             stsd = _one(stbl, b"stsd")
             codec = buf[stsd[1] + 12 : stsd[1] + 16].decode("latin1") if struct.unpack_from(">I", buf, stsd[1] + 4)[0] else ""
             kind = buf[_one(mdia, b"hdlr")[1] + 8 :][:4].decode("latin1")
-            offset, size, key, time = _samples(buf, stbl)
+            offset, size, key, time = _samples(buf, stbl, room)
             out[track] = dict(track=track, kind=kind, codec=codec, width=width >> 16, height=height >> 16, scale=scale, parts=[(offset, size, key)], time=time)
         for moof in root.get(b"moof", []):
-            for track, offset, size, key, time in _fragment(buf, moof, extends):
+            for track, offset, size, key, time in _fragment(buf, moof, extends, room):
                 if track in out:
                     out[track]["parts"].append((offset, size, key))
                     out[track]["time"] += time
@@ -230,10 +253,11 @@ def media_columns(files: DataFrame, id_col: str = "doc_id", data_col: str = "dat
     frames' "offset:size" in file order, joined by commas) and problem (null).
 
     Defined cases: null and empty data give no row; data that isn't a well-formed container gives one row with the
-    problem named and all else null; samples without a sync table are all key frames; ids may be null or repeated;
+    problem named and all else null, and so does one whose tables count more samples than it has bytes; boxes may nest to
+    any depth; samples without a sync table are all key frames; ids may be null or repeated, and of any type;
     other columns are ignored; an empty table gives no rows."""
-    src = files.select(F.col(f"`{id_col}`").cast("bigint").alias(id_col), F.col(f"`{data_col}`").cast("binary").alias("data"))
-    return src.mapInArrow(_walk, f"`{id_col}` bigint, {_SCHEMA}")
+    src = files.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{data_col}`").cast("binary").alias("data"))
+    return src.mapInArrow(_walk, f"`{id_col}` {src.schema[0].dataType.simpleString()}, {_SCHEMA}")
 
 
 # A muxer, so that tables without media can stand in for some: a row's bytes become the payload.
@@ -314,7 +338,7 @@ def muxed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """No table holds media, so every page is muxed first; then the containers are walked."""
-    return media_columns(muxed(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html"), "page_id").drop("problem")
+    return media_columns(muxed(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html"), "page_id")
 
 
 SQL = f"""
@@ -328,6 +352,6 @@ with p as (select page_id, octet_length(encode(html)) as len, page_id % 3 as lay
                               else 556 + (i // 2) * (76 + {2 * GROUP} * {SAMPLE + 8}) + 76 + 8 * least({2 * GROUP}, n - {2 * GROUP} * (i // 2)) + (i % 2) * {SAMPLE * GROUP} end as off from k),
      s as (select page_id, string_agg(off || ':' || size, ',' order by i) as ranges from o group by page_id)
 select page_id, 1::int as track, 'vide' as kind, ['avc1', 'hvc1', 'av01'][c + 1] as codec, 640::int as width, 360::int as height,
-       n * {DELTA} / {SCALE}::double as seconds, n::bigint as samples, kf::bigint as keyframes, coalesce(ranges, '') as ranges
+       n * {DELTA} / {SCALE}::double as seconds, n::bigint as samples, kf::bigint as keyframes, coalesce(ranges, '') as ranges, null::varchar as problem
 from r left join s using (page_id)
 """
