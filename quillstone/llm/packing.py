@@ -1,10 +1,12 @@
-"""Packing: concatenate all documents in doc_id order and cut the tokens into fixed windows.
+"""Packing: concatenate all documents and cut the tokens into fixed windows.
 
-Pass 1 counts the tokens of every document; partitions are ranges of doc_id of about ``range_mb`` of text, and the
-prefix sums of their totals are the partitions' global offsets.  Pass 2 brings each range together in order and cuts
-it: windows that lie within a range are whole; the two at its ends leave boundary records, which alone meet again by
-window.  Tokens are words (runs of anything but ASCII white space) or, with a vocabulary's path, the ids of byte-pair
-encoding; each document ends with a separator token."""
+The order is that of md5("id:text"), in which neighbours have nothing in common; so ranges of the hash hold equal shares of
+the bytes whatever the ids are, no id or source makes one of them long, and nothing about their bounds needs to be learnt.
+Pass 1 counts the tokens of every range of about ``range_mb`` of text; the prefix sums of these totals are the ranges' global
+offsets.  Pass 2 brings each range together in order and cuts it: windows that lie within a range are whole; the two at its
+ends leave boundary records, which alone meet again by window.  There are at most MOST ranges (longer ones for a corpus of
+terabytes), so the driver holds that many numbers at most.  Tokens are words (runs of anything but ASCII white space) or, with
+a vocabulary's path, the ids of byte-pair encoding; each document ends with a separator token."""
 
 from __future__ import annotations
 
@@ -14,13 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..sources.scratch import save
 from ._text import words
 
-WINDOW, RANGE_MB, END = 2048, 32, "<|endoftext|>"
+WINDOW, RANGE_MB, MOST, END = 2048, 32, 100_000, "<|endoftext|>"
 
 
 @cache
@@ -115,36 +117,38 @@ def _cutter(offsets: np.ndarray, window: int, end: str, vocabulary: str | None,
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float = RANGE_MB, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _place(doc_id, text, nth=None):
+    """Key of the order."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")), *([] if nth is None else [nth.cast("string")])]
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float = RANGE_MB, vocabulary: str | None = None, pattern: str | None = None, copies_apart: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(window_id, n_tokens, text, doc_ids, starts): the windows in order, each with its tokens joined by spaces, the
     documents it holds and where each begins in it (both joined by commas).  All windows but the last are full.
 
     ``vocabulary`` is the path of a byte-pair vocabulary that every worker can read, and ``pattern`` its splitting pattern;
-    tokens are then ids, and ``end`` should be the separator's id.
-
-    Defined cases: the order is doc_id, null last, then the text; a null, empty or word-less text is its separator alone
-    (nothing if ``end`` is ""); repeated rows are packed as often as they appear; a null id shows as "null"; other
-    columns are ignored; an empty table gives no rows."""
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    meta = save(src.select("doc_id", arrow_udf(_counter(vocabulary, pattern), "bigint")("text").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "tokens")
-    size = meta.agg(F.sum("size")).first()[0] or 0
-    ranges = max(1, -(-int(size) // int(range_mb * (1 << 20))))
-    cuts = np.zeros(0, np.int64)
-    if ranges > 1:
-        cuts = np.unique(np.array(meta.where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)).astype(np.int64))
-    span = len(cuts) + 1
-
-    def place(ids: pa.Array) -> pa.Array:
-        out = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right").astype(np.int64)
-        out[ids.is_null().to_numpy(zero_copy_only=False)] = span
-        return pa.array(out)
-
-    part = arrow_udf(place, "bigint")("doc_id").alias("part")
-    totals = np.zeros(span + 1, np.int64)
-    for p, n in meta.select(part, (F.col("n") + (1 if end else 0)).alias("n")).groupBy("part").agg(F.sum("n")).collect():  # one row a range
+    tokens are then ids, and ``end`` should be the separator's id.  With ``copies_apart`` equal rows are numbered from 0 and
+    the order is that of md5("id:text:number"), so the copies of a document don't stand side by side.
+
+    Defined cases: a null, empty or word-less text is its separator alone (nothing if ``end`` is ""); repeated rows are packed
+    as often as they appear; a null id (or one that is no integer) shows as "null"; other columns are ignored; an empty table
+    gives no rows."""
+    src = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST, max(1, -(-int(size) // int(range_mb * (1 << 20)))))
+    nth = None
+    if copies_apart:
+        src = src.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))) - 1)
+        nth = F.col("nth")
+    keyed = src.select(_place(F.col("doc_id"), F.col("text"), nth).alias("key"), "doc_id", "text")
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)).cast("int").alias("part")
+    count = arrow_udf(_counter(vocabulary, pattern), "bigint")("text") + (1 if end else 0)
+    totals = np.zeros(ranges, np.int64)
+    for p, n in keyed.select(part, count.alias("n")).groupBy("part").agg(F.sum("n")).collect():  # MOST rows at most
         totals[p] = n
     offsets = np.concatenate([[0], np.cumsum(totals)])
-    cut = src.select(part, "doc_id", "text").repartitionById(span + 1, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "text").mapInArrow(_cutter(offsets, window, end, vocabulary, pattern), _SCHEMA)
+    cut = keyed.select(part, "doc_id", "text", "key").repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key").mapInArrow(_cutter(offsets, window, end, vocabulary, pattern), _SCHEMA)
     cut = save(cut, "windows")
     whole = F.col("n_tokens") == window
     bits = F.array_sort(F.collect_list(F.struct("begin", "n_tokens", "text", "docs", "starts")))
@@ -158,8 +162,8 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with w as (select doc_id, list_append(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), '{END}') as toks from documents),
-     o as (select doc_id, toks, (sum(len(toks)) over (order by doc_id) - len(toks))::bigint as off from w),
+with w as (select doc_id, md5(concat_ws(':', coalesce(doc_id::varchar, 'null'), coalesce(text, ''))) as key, list_append(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), '{END}') as toks from documents),
+     o as (select doc_id, toks, (sum(len(toks)) over (order by key, doc_id) - len(toks))::bigint as off from w),
      t as (select doc_id, unnest(toks) as tok, off + generate_subscripts(toks, 1) - 1 as pos from o),
      g as (select pos // {WINDOW} as window_id, doc_id, min(pos) as pos0, count(*) as n, string_agg(tok, ' ' order by pos) as text from t group by 1, 2)
 select window_id::bigint as window_id, sum(n)::bigint as n_tokens, string_agg(text, ' ' order by pos0) as text,
