@@ -145,9 +145,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: in
 
     Defined cases: null, empty and zero vectors and those with null, infinite or NaN entries are groups of their own;
     vectors of each length are searched by themselves; equal vectors always share a group; rows that share an id are
-    one item, grouped by any of its vectors; rows with a null id give no row; other columns are ignored; an empty table
+    one item, grouped by any of its vectors; rows with a null id (or one that is no integer) give no row; other columns are ignored; an empty table
     gives no rows.  The sample for the upper levels is one vector in 200 (10,000 at least)."""
-    ids = F.col(f"`{id_col}`").cast("bigint")
+    ids = F.col(f"`{id_col}`").try_cast("bigint")
     src = vectors.select(ids.alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
     fine = src.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     keyed = fine.select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(seed), "v").alias("h2"))

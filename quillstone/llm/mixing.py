@@ -91,11 +91,11 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, budget: flo
 
     ``weights`` are relative shares by source, equal for all sources if None; a source that they don't name gets 0.
     ``budget`` is the characters to reach, as many as there are if None.  Defined cases: a null source is a source of
-    its own, named by the key None; rows that share source and doc_id are one unit and give one row (also null ids); null and
+    its own, named by the key None; rows that share source and doc_id are one unit and give one row (also null ids, and any that are no integers); null and
     empty texts have no characters, and a source without any gets no copies; other columns are ignored; an empty table
     gives no rows."""
     spark = docs.sparkSession
-    src = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).alias("chars"))
+    src = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").try_cast("bigint").alias("doc_id"), F.coalesce(F.length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).alias("chars"))
     by = src.groupBy("source").agg(F.count("*").alias("n"), F.sum("chars").cast("double").alias("chars"))
     if weights is None:
         by = by.withColumn("weight", F.lit(1.0))
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *
     """``docs`` with each row as often as its copies say; all columns pass through."""
     key, name, n = fresh(docs, "key", "name", "n")
     take = copies(docs, id_col=id_col, source_col=source_col, **how).where("copies > 0").toDF(key, name, n)
-    both = docs.join(take.hint("shuffle_hash"), docs[f"`{id_col}`"].cast("bigint").eqNullSafe(F.col(key)) & docs[f"`{source_col}`"].cast("string").eqNullSafe(F.col(name)))
+    both = docs.join(take.hint("shuffle_hash"), docs[f"`{id_col}`"].try_cast("bigint").eqNullSafe(F.col(key)) & docs[f"`{source_col}`"].cast("string").eqNullSafe(F.col(name)))
     return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

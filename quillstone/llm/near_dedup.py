@@ -23,7 +23,7 @@ from ..sources.scratch import save
 from ._components import components, label
 from ._text import U, Spans, mix, words
 
-PLACES, ROWS, SHINGLE, THRESHOLD = 256, 4, 3, 0.45
+PLACES, SHINGLE, THRESHOLD = 256, 3, 0.45
 
 
 def superminhash(items: np.ndarray, doc: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
@@ -78,14 +78,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo).take(pa.array(own)), *map(pa.array, seals), pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "h1", "h2", "sig"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            ids = b.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
-            bands = np.ascontiguousarray(sig).view(np.uint64) if ROWS == 4 else None
-            key = mix(bands + mix(np.arange(bands.shape[1], dtype=np.uint64) + U(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, bands.shape[1]))], ["band", "doc_id"])
+def rows_of_a_band(threshold: float, least: float = 0.9) -> int:
+    """The most rows a band can have (1, 2, 4 or 8) for two documents at the threshold to share a band with a probability of
+    ``least`` or more."""
+    return max((r for r in (1, 2, 4, 8) if 1 - (1 - threshold**r) ** (PLACES // r) >= least), default=1)
+
+
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy()
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(len(ids), -1, rows).astype(np.uint64)
+                key = np.zeros(sig.shape[:2], np.uint64)
+                for k in range(0, rows, 4):  # four places fit a word
+                    part = sig[:, :, k : k + 4]
+                    word = (part << (np.arange(part.shape[2], dtype=np.uint64) * U(16))).sum(2, dtype=np.uint64)
+                    key = mix(word + key) if k else word
+                key = mix(key + mix(np.arange(key.shape[1], dtype=np.uint64) + U(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, key.shape[1]))], ["band", "doc_id"])
+
+    return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +179,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """(doc_id, group_id, keep): one row for each distinct doc_id; group_id is the least doc_id of its group of near
     copies (itself if it has none) and keep is 1 for that one document.
 
-    Defined cases: a null or word-less text is a group of its own; rows with a null id can't be named and give no row;
+    Defined cases: a null or word-less text is a group of its own; rows with a null id (or one that is no integer) can't be named and give no row;
     rows that share an id are one document, grouped by any of its texts; other columns are ignored whatever their
-    names; an empty table gives no rows.  Similarity is estimated on 256 places (standard error 0.031 at most)."""
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    names; an empty table gives no rows.  Bands are as long as the threshold allows.  Similarity is estimated on 256 places (standard error 0.031 at most)."""
+    src = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     sig = save(src.mapInArrow(_sign, "doc_id bigint, h1 bigint, h2 bigint, sig binary"), "sig")
     same = save(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "same")
     copies = sig.select("doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select("rep", "doc_id")
-    bands = same.select("rep", "sig").mapInArrow(_bands, "band bigint, doc_id bigint").repartition("band")
+    bands = same.select("rep", "sig").mapInArrow(_bands(rows_of_a_band(threshold)), "band bigint, doc_id bigint").repartition("band")
     buckets = bands.mapInArrow(_buckets, "seal bigint, size bigint, members array<bigint>").dropDuplicates(["seal", "size"])
     pairs = buckets.select(F.xxhash64("seal", "size").alias("bucket"), F.explode("members").alias("rep"))
     close = pairs.join(same.select("rep", "sig"), "rep").select("bucket", "rep", "sig").repartition("bucket").mapInArrow(_verify(threshold), "a bigint, b bigint")

@@ -181,13 +181,14 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Gam:
-    """Train on documents that ``labels`` (doc_id, quality) covers, at most ``max_rows`` of them by least hash of doc_id.
-    Rows with a null id or label are left out; a document with several labels counts with each."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("k"), F.col("quality").cast("double").alias("y")).where("k is not null and y is not null")
+    """Train on documents that ``labels`` (doc_id, quality) covers, at most ``max_rows`` rows by least hash of doc_id, of the
+    labels and of the documents that join with them.
+    Rows with a null id (or one that is no integer) or label are left out; a document with several labels counts with each."""
+    known = labels.select(F.col("doc_id").try_cast("bigint").alias("k"), F.col("quality").cast("double").alias("y")).where("k is not null and y is not null")
     chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(max_rows)
-    text = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    text = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
     measured = arrow_udf(lambda t: pa.array(list(features(t).astype(float)), pa.list_(pa.float64())), "array<double>")
-    rows = text.join(F.broadcast(chosen), "k").select("k", "y", measured("t").alias("x")).toPandas().sort_values(["k", "y"], kind="stable")
+    rows = text.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("t")).limit(max_rows).select("k", "y", measured("t").alias("x")).toPandas().sort_values(["k", "y"], kind="stable")
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)).astype(np.float32)
     return train(x, (rows["y"].to_numpy() >= 0.5).astype(float))
 

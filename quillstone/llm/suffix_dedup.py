@@ -317,9 +317,9 @@ def repeats(docs: DataFrame, least: int = LEAST, shard: int = SHARD, id_col: str
     word of which lies in ``least`` words or more that another document has too.
 
     Defined cases: null, empty and short texts have no ranges; rows that share a doc_id are one document, whose own
-    repeats don't count; rows with a null id can't be named and are left out; other columns are ignored; an empty table
+    repeats don't count; rows with a null id (or one that is no integer) can't be named and are left out; other columns are ignored; an empty table
     gives no rows.  ``least`` must be over GRAM."""
-    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    src = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     found = src.mapInArrow(_anchors(least), "anchor bigint, doc_id bigint, lo int, hi int, whole bigint").repartition("anchor").mapInArrow(_meet(least), _MET)
     found = save(found, "met")
     asks = found.where("not found").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "many")).alias("asks"))

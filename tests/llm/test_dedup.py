@@ -36,20 +36,23 @@ def test_components_of_nothing(spark):
 # line dedup
 
 
+WHITE = " \t\n\v\f\r"
+
+
 def lines_by_hand(rows):
     """(doc_id, text, lines in, lines out) of each row."""
     order = sorted(set((i is None, i or 0, t) for i, t in rows if t is not None))
     first = {}
     for none, i, t in order:
         for k, x in enumerate(t.split("\n")):
-            if x.strip():
+            if x.strip(WHITE):
                 first.setdefault(x, (none, i, t, k))
     out = []
     for i, t in rows:
         if t is None:
             out.append((i, None, 0, 0))
             continue
-        kept = [x for k, x in enumerate(t.split("\n")) if not x.strip() or first[x] == (i is None, i or 0, t, k)]
+        kept = [x for k, x in enumerate(t.split("\n")) if not x.strip(WHITE) or first[x] == (i is None, i or 0, t, k)]
         out.append((i, "\n".join(kept), len(t.split("\n")), len(kept)))
     return sorted(out, key=repr)
 
@@ -57,7 +60,7 @@ def lines_by_hand(rows):
 @pytest.mark.parametrize("filter_mb", [256, 0])
 def test_line_dedup_as_by_hand(spark, filter_mb):
     rng = np.random.default_rng(8)
-    pool = [prose(rng, 3) for _ in range(40)] + ["", "  "]
+    pool = [prose(rng, 3) for _ in range(40)] + ["", "  ", "\u00a0", "\r", "é\x1f"]
     rows = awkward() + [(100 + i, "\n".join(rng.choice(pool, rng.integers(1, 9))), "z") for i in range(60)]
     got = line_dedup.dedup_lines(documents(spark, rows), filter_mb=filter_mb)
     assert sorted(((r.doc_id, r.text, r.lines_in, r.lines_out) for r in got.collect()), key=repr) == lines_by_hand([(i, t) for i, t, _ in rows])
