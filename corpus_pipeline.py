@@ -43,8 +43,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed windows of tokens."""
-    return packing.pack(docs)
+    """Fixed windows of tokens; the copies of a document stand apart."""
+    return packing.pack(docs, copies_apart=True)
 
 
 STAGES = [
