@@ -8,8 +8,11 @@ the anchor can reach to have ``least`` words) are compared:
 * windows equal as a whole need no sorting: they repeat throughout;
 * the others go, as 32-bit words, to the shard of their anchor, whose suffix array is built by induced sorting:
   suffixes are classed as smaller or larger than the next, the leftmost-smaller substrings are named and sorted
-  recursively, and the order of all other suffixes follows from theirs by one stable sort; permuted common prefixes
-  are then computed at irreducible places and carried on by one less elsewhere.
+  recursively, and two scans over the buckets induce the order of all others from theirs, in linear time; permuted common
+  prefixes are then computed at irreducible places and carried on by one less elsewhere;
+* an anchor that more than ``hot`` windows of one map task have (boilerplate) is split by the words around it: each of its
+  windows gives the hashes of its ``least`` words from every place on, which meet one by one with combined counts, so neither
+  an anchor nor a passage of a third of the corpus comes together in one task.
 
 The union over anchors is exact: it is the same as comparing every ``least`` consecutive words of the corpus."""
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.scratch import save
 from ._text import Spans, winnow, words
 
-LEAST, GRAM, SHARD = 50, 16, 1 << 20
+LEAST, GRAM, SHARD, HOT = 50, 16, 1 << 17, 256
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -38,71 +41,78 @@ def _rank(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _induce(s: list[int], pred: list[int], small: list[bool], heads: list[int], tails: list[int], seeds: list[int]) -> list[int]:
+    """Places of all suffixes in order, induced from leftmost-smaller ones in the order given: these go to the ends of their
+    symbols' buckets; one scan upwards puts the larger suffixes at the heads of theirs, one downwards the smaller ones at the
+    ends.  ``pred`` has the place before each (-1 for the first).  Linear: every suffix is looked at once in either scan."""
+    n = len(s)
+    sa, end = [-1] * n, tails[:]
+    for i in reversed(seeds):
+        c = s[i]
+        end[c] -= 1
+        sa[end[c]] = i
+    head = heads[:]
+    last = n - 1  # the end of the text counts as the least suffix: the one before it comes first in its bucket
+    if not small[last]:
+        sa[head[s[last]]] = last
+        head[s[last]] += 1
+    for i in sa:
+        j = pred[i] if i >= 0 else -1
+        if j >= 0 and not small[j]:
+            c = s[j]
+            sa[head[c]] = j
+            head[c] += 1
+    end = tails[:]
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        j = pred[i] if i >= 0 else -1
+        if j >= 0 and small[j]:
+            c = s[j]
+            end[c] -= 1
+            sa[end[c]] = j
+    return sa
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of positive integers; the end counts as less than any symbol."""
+    """Suffix array of integers by induced sorting; the end counts as less than any symbol."""
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = _rank(s) + 1
-    # classes: smaller (S) or larger (L) than the next suffix
+    s = _rank(s)
+    # classes: smaller (S) or larger (L) than the next suffix; the last is larger, as only the end follows it
     step = np.empty(n, np.int8)
     step[:-1] = np.sign(s[1:] - s[:-1])
     step[-1] = -1
     at = np.where(step != 0, np.arange(n), n)
     small = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.append(lms, n)
-    which = np.searchsorted(ends, np.arange(n), "right")  # the next leftmost-smaller place after each
-    reach = ends[which] - np.arange(n) + 1  # symbols up to and with it
-    code = np.append(2 * s + small, 0)
-    rank = _phrases(code, reach)
-    if len(lms) == 0:
-        return np.argsort(rank, kind="stable")
-    names = _rank(rank[lms])
-    if names.max() + 1 < len(lms):
-        order = suffix_array(names + 1)
-    else:
-        order = np.argsort(names)
-    tail = np.zeros(len(ends), np.int64)  # the end is least
-    tail[order] = np.arange(1, len(lms) + 1)
-    return np.argsort(rank * (len(lms) + 1) + tail[which], kind="stable")
-
-
-def _phrases(code: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Ranks of code[i : i + reach[i]]; equal beginnings have equal ends, so long ones are refined among themselves."""
-    n = len(reach)
-    width = 3
-    base = int(code.max()) + 1
-    if base >= 1 << 21:
-        code = np.append(_rank(code[:-1]) + 1, 0)
-        base = int(code.max()) + 1
-    wide = np.concatenate([code, np.zeros(2, code.dtype)])
-    key = code[:n].copy()
-    for k in (1, 2):
-        key = key * base + np.where(reach > k, wide[k : n + k], 0) if base < 1 << 21 else _rank(key) * (n + 2) + np.where(reach > k, wide[k : n + k], 0)
-    rank = _rank(key)
-    while True:
-        long = np.flatnonzero(reach > width)
-        if not len(long):
-            return rank
-        after = np.zeros(n + width, np.int64)
-        after[:n] = rank + 1
-        # a refined rank orders within its old one
-        sub = np.zeros(n, np.int64)
-        pair = rank[long] * (n + 1) + after[long + width]
-        sub[long] = _rank(pair)
-        order = np.lexsort((sub, rank)) if len(long) * 8 > n else None
-        rank = _rank(rank * (n + 1) + sub) if order is None else _from(order, rank, sub)
-        width *= 2
-
-
-def _from(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, y = a[order], b[order]
-    step = np.zeros(len(order), np.int64)
-    step[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(step)
-    return out
+    count = np.bincount(s)
+    tails = np.cumsum(count)
+    heads = tails - count
+    given = s.tolist(), list(range(-1, n - 1)), small.tolist(), heads.tolist(), tails.tolist()
+    if not len(lms):
+        return np.array(_induce(*given, []), np.int64)
+    first = np.array(_induce(*given, lms.tolist()), np.int64)
+    # leftmost-smaller substrings are now in order; equal neighbours get one name
+    which = np.full(n, -1, np.int64)
+    which[lms] = np.arange(len(lms))
+    order = which[first]
+    order = order[order >= 0]
+    size = np.append(np.diff(lms) + 1, n - lms[-1] + 1)  # the last one runs into the end, which no other has
+    a, b = order[:-1], order[1:]
+    same = (size[a] == size[b]) & (a != len(lms) - 1) & (b != len(lms) - 1)
+    rows = np.flatnonzero(same)
+    m = size[a[rows]]
+    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    x, y = np.repeat(lms[a[rows]], m) + off, np.repeat(lms[b[rows]], m) + off
+    differ = (s[x] != s[y]) | (small[x] != small[y])
+    if len(rows):
+        same[rows] = ~np.logical_or.reduceat(differ, np.cumsum(m) - m)
+    name = np.empty(len(lms), np.int64)
+    name[order] = np.concatenate([[0], np.cumsum(~same)])
+    if name.max() + 1 < len(lms):
+        order = suffix_array(name)
+    return np.array(_induce(*given, lms[order].tolist()), np.int64)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -154,24 +164,35 @@ def _other(lcp: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return best
 
 
-def _anchors(least: int):
+def _anchors(least: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "anchor", "doc_id", "lo", "hi", "whole", "split"]
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, have = b.column(0).to_numpy(), []
             for w in words(b.column(1)):
                 spans = Spans(w.hash)
                 g = spans.grams(GRAM)
                 at = winnow(g, w.first, GRAM, least - GRAM + 1)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 lo, hi = np.maximum(at - (least - GRAM), w.first[doc]), np.minimum(at + least, w.first[doc + 1])
-                whole = spans.of(lo, hi)
                 off = w.first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[w.lo + doc]), pa.array((lo - off).astype(np.int32)), pa.array((hi - off).astype(np.int32)), pa.array(whole.view(np.int64))], ["anchor", "doc_id", "lo", "hi", "whole"])
+                have.append((g[at].view(np.int64), ids[w.lo + doc], lo - off, hi - off, spans.of(lo, hi).view(np.int64)))
+            if not have:
+                continue
+            anchor, doc, lo, hi, whole = (np.concatenate(c) for c in zip(*have))
+            _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
+            split = count[of] > hot
+            part = np.where(split, doc, anchor)  # windows that are split needn't meet as such
+            told = np.unique(anchor[split])  # but those of other tasks are to be split too
+            none = np.zeros(len(told), np.int64)
+            cols = [np.concatenate(c) for c in ((part, told), (anchor, told), (doc, none), (lo, none), (hi, none), (whole, none), (split, np.ones(len(told), bool)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, bool))], names)
 
     return run
 
 
-_MET = "anchor bigint, doc_id bigint, lo int, hi int, many boolean, found boolean"
+_MET = "anchor bigint, doc_id bigint, lo int, hi int, many boolean, kind tinyint"
+FOUND, ASK, SPLIT = 0, 1, 2
 
 
 def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -184,7 +205,15 @@ def _meet(least: int):
         t = _table(batches)
         if t is None:
             return
-        anchor, doc, lo, hi, whole = (t.column(k).to_numpy() for k in range(5))
+        anchor, doc, lo, hi, whole = (t.column(k).to_numpy() for k in range(1, 6))
+        split = t.column(6).to_numpy()
+        names = [x.split()[0] for x in _MET.split(", ")]
+        if split.any():
+            told = np.unique(anchor[split & (hi == 0)])
+            split |= np.isin(anchor, told)
+            pick = split & (hi - lo >= least)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[pick]) for c in (anchor, doc, lo, hi)], pa.array(np.zeros(pick.sum(), bool)), pa.array(np.full(pick.sum(), SPLIT, np.int8))], names)
+            anchor, doc, lo, hi, whole = (c[~split] for c in (anchor, doc, lo, hi, whole))
         # most anchors occur once
         order = np.argsort(anchor, kind="stable")
         x = anchor[order]
@@ -211,16 +240,16 @@ def _meet(least: int):
         np.minimum.at(low, group, doc)
         np.maximum.at(high, group, doc)
         ask &= (low < high)[group]
-        names = [x.split()[0] for x in _MET.split(", ")]
-        for pick, flag in ((found, True), (ask, False)):
+        for pick, flag in ((found, FOUND), (ask, ASK)):
             if pick.any():
-                cols = [anchor[pick], doc[pick], lo[pick], hi[pick], many[part][pick], np.full(int(pick.sum()), flag)]
+                cols = [anchor[pick], doc[pick], lo[pick], hi[pick], many[part][pick], np.full(int(pick.sum()), flag, np.int8)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id by row, words, document, anchor, first and last word, many) of the windows asked of each piece of texts."""
     for b in batches:
         ids, asks = b.column(0).to_numpy(), b.column(2)
         sizes = np.diff(asks.offsets.to_numpy())
@@ -232,15 +261,35 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows.start == rows.stop:
                 continue
             doc = np.repeat(np.arange(w.hi - w.lo), sizes[w.lo : w.hi])
-            word = (w.hash >> np.uint64(32)).astype(np.uint32)
-            a, e = lo[rows] + w.first[doc], hi[rows] + w.first[doc]
-            ok = e <= w.first[doc + 1]  # rows of one doc_id may have texts of their own
-            a, e, doc = a[ok], e[ok], doc[ok]
-            size = e - a
-            off = np.concatenate([[0], np.cumsum(size)])
-            flatw = word[np.repeat(a - off[:-1], size) + np.arange(off[-1])]
-            text = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(flatw)])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[rows][ok]), pa.array(ids[w.lo + doc]), pa.array(lo[rows][ok]), pa.array(many[rows][ok]), text], ["anchor", "doc_id", "lo", "many", "words"])
+            ok = hi[rows] + w.first[doc] <= w.first[doc + 1]  # rows of one doc_id may have texts of their own
+            yield ids[w.lo + doc[ok]], w, doc[ok], anchor[rows][ok], lo[rows][ok], hi[rows][ok], many[rows][ok]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, w, doc, anchor, lo, hi, many in _texts(batches):
+        word = (w.hash >> np.uint64(32)).astype(np.uint32)
+        size = hi - lo
+        off = np.concatenate([[0], np.cumsum(size)])
+        flatw = word[np.repeat(lo + w.first[doc] - off[:-1], size) + np.arange(off[-1])]
+        text = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(flatw)])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(lo), pa.array(many), text], ["anchor", "doc_id", "lo", "many", "words"])
+
+
+def _grams(least: int):
+    """Hash of the ``least`` words from every place of the windows on, with the place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, w, doc, _, lo, hi, _ in _texts(batches):
+            spans = Spans(w.hash)
+            n = hi - lo - least + 1
+            row = np.repeat(np.arange(len(n)), n)
+            at = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = at + w.first[doc[row]]
+            key = spans.of(start, start + least)
+            _, one = np.unique(np.stack([doc[row], at]), axis=1, return_index=True)  # windows overlap
+            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(ids[row[one]]), pa.array(at[one].astype(np.int32))], ["key", "doc_id", "lo"])
+
+    return run
 
 
 def _shards(least: int, shard: int):
@@ -312,7 +361,7 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(lo[begin]), pa.array((reach - shift)[last])], ["doc_id", "start_word", "end_word"])
 
 
-def repeats(docs: DataFrame, least: int = LEAST, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, shard: int = SHARD, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word): the maximal ranges of each document (end exclusive, words counted from 0) every
     word of which lies in ``least`` words or more that another document has too.
 
@@ -320,13 +369,19 @@ def repeats(docs: DataFrame, least: int = LEAST, shard: int = SHARD, id_col: str
     repeats don't count; rows with a null id (or one that is no integer) can't be named and are left out; other columns are ignored; an empty table
     gives no rows.  ``least`` must be over GRAM."""
     src = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    found = src.mapInArrow(_anchors(least), "anchor bigint, doc_id bigint, lo int, hi int, whole bigint").repartition("anchor").mapInArrow(_meet(least), _MET)
+    found = src.mapInArrow(_anchors(least, hot), "part bigint, anchor bigint, doc_id bigint, lo int, hi int, whole bigint, split boolean").repartition("part").mapInArrow(_meet(least), _MET)
     found = save(found, "met")
-    asks = found.where("not found").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "many")).alias("asks"))
-    held = src.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks")
-    wide = held.mapInArrow(_windows, "anchor bigint, doc_id bigint, lo int, many boolean, words binary").repartition("anchor")
-    more = wide.mapInArrow(_shards(least, shard), "doc_id bigint, lo int, hi int")
-    ranges = found.where("found").select("doc_id", "lo", "hi").union(more)
+
+    def asked(kind: int) -> DataFrame:
+        asks = found.where(F.col("kind") == kind).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "lo", "hi", "many")).alias("asks"))
+        return src.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks")
+
+    wide = asked(ASK).mapInArrow(_windows, "anchor bigint, doc_id bigint, lo int, many boolean, words binary").repartition("anchor")
+    ranges = found.where(F.col("kind") == FOUND).select("doc_id", "lo", "hi").union(wide.mapInArrow(_shards(least, shard), "doc_id bigint, lo int, hi int"))
+    if found.where(F.col("kind") == SPLIT).limit(1).count():
+        grams = save(asked(SPLIT).mapInArrow(_grams(least), "key bigint, doc_id bigint, lo int"), "grams")
+        again = grams.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+        ranges = ranges.union(grams.join(again, "key").select("doc_id", "lo", (F.col("lo") + least).alias("hi")))
     return ranges.repartition("doc_id").mapInArrow(_union, "doc_id bigint, start_word bigint, end_word bigint")
 
 
