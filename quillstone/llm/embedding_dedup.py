@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.scratch import save
 from ._components import components, label
 
-THRESHOLD, TREES, LEAF, SPILL, SHARE, SEED = 0.9, 8, 256, 0.15, 40_000, 29
+THRESHOLD, TREES, LEAF, SPILL, SHARE, SAMPLE_MB, SEED = 0.9, 8, 256, 0.15, 40_000, 64, 29
 
 
 def _plane(seed: int, tree: int, path: int, dim: int) -> np.ndarray:
@@ -139,14 +139,16 @@ def _compare(seed: int, leaf: int, spill: float, threshold: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, share: int = SHARE, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, share: int = SHARE, sample_mb: int = SAMPLE_MB, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, group_id, keep): one row for each distinct id; group_id is the least id of its group of vectors joined by
     cosines of ``threshold`` or more (itself if it has none), and keep is 1 for that one.
 
     Defined cases: null, empty and zero vectors and those with null, infinite or NaN entries are groups of their own;
     vectors of each length are searched by themselves; equal vectors always share a group; rows that share an id are
     one item, grouped by any of its vectors; rows with a null id (or one that is no integer) give no row; other columns are ignored; an empty table
-    gives no rows.  The sample for the upper levels is one vector in 200 (10,000 at least)."""
+    gives no rows.  Upper levels part the vectors into shares of about ``share``; their thresholds come from a sample of
+    ``sample_mb`` (by hash of the id) for each length, which leaves at least 64 vectors of it to a node: beyond 2,048 nodes for
+    64 entries, shares grow instead."""
     ids = F.col(f"`{id_col}`").try_cast("bigint")
     src = vectors.select(ids.alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
     fine = src.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
@@ -155,9 +157,9 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, trees: in
     copies = keyed.select("id", "dim", "h1", "h2").join(same.select("dim", "h1", "h2", "rep"), ["dim", "h1", "h2"]).where("id <> rep").select("rep", "id")
     tops: dict[int, list[dict]] = {}
     for dim, n in same.groupBy("dim").count().collect():
-        if depth := max(0, int(np.ceil(np.log2(n / share)))):
-            sample = same.where(F.col("dim") == dim).select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(max(10_000, n // 200)).toPandas()
-            tops[dim] = _top(_unit(np.array(sample["v"].tolist(), np.float64)), trees, depth, seed, spill)
+        if (depth := max(0, int(np.ceil(np.log2(n / share))))) and (rows := min(n, (sample_mb << 20) // (8 * dim))) >= 128:
+            sample = same.where(F.col("dim") == dim).select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(rows).toArrow()
+            tops[dim] = _top(_unit(_matrix(sample.column("v").combine_chunks(), dim)), trees, min(depth, int(np.log2(rows / 64))), seed, spill)
     routed = same.select("rep", "v", "dim").mapInArrow(_route(tops, trees, seed), "dim int, tree int, node bigint, id bigint, unit binary").repartition("dim", "tree", "node")
     edges = routed.mapInArrow(_compare(seed, leaf, spill, threshold), "a bigint, b bigint")
     group = components(edges.union(copies))

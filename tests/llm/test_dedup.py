@@ -205,10 +205,25 @@ def passages(rng, n=60):
     return rows
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 500])
-def test_repeats_as_by_brute_force(spark, shard):
+def test_suffix_arrays_of_long_texts():
+    rng = np.random.default_rng(2)
+    for s in (rng.integers(0, 3, 20_000), np.tile(rng.integers(0, 5, 40), 300), np.zeros(5000, int), np.concatenate([np.tile(rng.integers(0, 9, 90), 40), np.arange(3000)])):
+        order = np.zeros(len(s), np.int64)  # prefix doubling
+        rank, width = np.unique(s, return_inverse=True)[1] + 1, 1
+        while width < 2 * len(s):
+            after = np.concatenate([rank[width:], np.zeros(min(width, len(s)), np.int64)])
+            order = np.lexsort((after, rank))
+            new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])])
+            rank = np.empty(len(s), np.int64)
+            rank[order] = np.cumsum(new)
+            width *= 2
+        assert (suffix_dedup.suffix_array(s) == order).all()
+
+
+@pytest.mark.parametrize(("shard", "hot"), [(1 << 20, 256), (500, 256), (1 << 20, 2), (500, 1)])
+def test_repeats_as_by_brute_force(spark, shard, hot):
     rows = [r for r in passages(np.random.default_rng(9)) + [(900, "z " * 300, "s"), (901, "z " * 120, "s")] + [(1000 + (i or 0), t, s) for i, t, s in awkward() if i is not None]]
-    got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeats(documents(spark, rows + [(None, rows[0][1], "s")]), least=24, shard=shard).collect()}
+    got = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeats(documents(spark, rows + [(None, rows[0][1], "s")]), least=24, shard=shard, hot=hot).collect()}
     assert got == ranges_by_hand([(i, t) for i, t, _ in rows], 24)
     assert suffix_dedup.repeats(documents(spark, [])).count() == 0
 
@@ -339,6 +354,21 @@ def test_embedding_groups_as_by_brute_force(spark, share):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs) and all(want[i] == want[g] for i, g in got.items())
 
 
+@pytest.mark.parametrize("sample_mb", [64, 1])
+def test_embedding_recall_through_upper_levels(spark, sample_mb):
+    """Pairs of a cosine of about 0.9 to 0.95, apart by routing (64 shares) as well as within shares; brute force knows them."""
+    rng = np.random.default_rng(41)
+    x = rng.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:600] + rng.standard_normal((600, 32)) * (0.42 / np.sqrt(32))
+    every = np.concatenate([x, y / np.linalg.norm(y, axis=1, keepdims=True)])
+    want = {(i, 12_000 + i) for i in range(600) if every[i] @ every[12_000 + i] >= 0.9}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.group_id for r in embedding_dedup.embedding_groups(df, share=200, leaf=64, sample_mb=sample_mb).collect()}
+    hit = sum(got[a] == got[b] for a, b in want) / len(want)
+    assert len(want) > 200 and hit >= 0.95
+
+
 @pytest.mark.parametrize("share", [40_000, 20])
 def test_embedding_groups_of_two_lengths(spark, share):
     rng = np.random.default_rng(15)
