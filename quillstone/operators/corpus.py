@@ -115,23 +115,32 @@ def most_seen(rows: DataFrame, key: str, seen: str = "seen", n: int = 40) -> Dat
 def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     """Every stride-th row in order, ``n`` at most; the stride is floor(total / n).
 
-    Places come from range-partitioned counts, not from one global window, so no task sorts the whole table."""
+    Places come from range-partitioned counts, not from one global window, so no task sorts the whole table, and only the
+    column of the order is moved: the chosen values, ``n`` at most, are then looked up in the table as it stands."""
+    from ..sources.scratch import fresh, save
+
     total = rows.count()
     stride = max(1, total // max(1, n))
-    ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    from ..sources.scratch import save
-
+    ordered = rows.select(order).repartitionByRange(F.col(order)).sortWithinPartitions(order)
     placed = save(ordered.withColumn("mono", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("mono", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
     at = F.col("before") + F.col("mono").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", at).where((F.col("place") % stride == 0) & (F.col("place") < stride * n)).select("place", *rows.columns)
+    every = placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", at)
+    chosen = every.where((F.col("place") % stride == 0) & (F.col("place") < stride * n)).select("place", F.col(order).alias("value"))
+    # of equal values the first so many rows are taken: which of them an order leaves open
+    first = every.join(F.broadcast(chosen.select("value").distinct()), F.col(order).eqNullSafe(F.col("value"))).groupBy("value").agg(F.min("place").alias("first"))
+    chosen = chosen.join(first, chosen["value"].eqNullSafe(first["value"])).select("place", chosen["value"].alias("value"), (F.col("place") - F.col("first") + 1).alias("nth"))
+    value, nth = fresh(rows, "value", "nth")
+    found = rows.join(F.broadcast(chosen.select(F.col("value").alias(value)).distinct()), F.col(order).eqNullSafe(F.col(value)))
+    found = found.withColumn(nth, F.row_number().over(Window.partitionBy(value).orderBy(value)))
+    return found.join(F.broadcast(chosen), F.col(value).eqNullSafe(F.col("value")) & (F.col(nth) == F.col("nth"))).select("place", *[F.col(c) for c in rows.columns])
 
 
 def hash_sample(rows: DataFrame, key: str, one_in: int, keep: Column | None = None) -> DataFrame:
-    """Rows whose key hashes to 0 modulo ``one_in``, and all that ``keep``."""
-    drawn = F.pmod(F.xxhash64(key), F.lit(one_in)) == 0
+    """Rows whose key hashes to 0 modulo ``one_in`` (by the first 32 bits of its MD5), and all that ``keep``."""
+    drawn = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % one_in == 0
     return rows.where(drawn if keep is None else keep | drawn)
 
 

@@ -38,9 +38,8 @@ def test_query_matches_its_sql(spark, duck, name):
     same(registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 def test_entry_works_without_the_training_data_operators(tmp_path):
