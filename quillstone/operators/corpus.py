@@ -130,8 +130,9 @@ def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     every = placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", at)
     chosen = every.where((F.col("place") % stride == 0) & (F.col("place") < stride * n)).select("place", F.col(order).alias("value"))
     # of equal values the first so many rows are taken: which of them an order leaves open
-    first = every.join(F.broadcast(chosen.select("value").distinct()), F.col(order).eqNullSafe(F.col("value"))).groupBy("value").agg(F.min("place").alias("first"))
-    chosen = chosen.join(first, chosen["value"].eqNullSafe(first["value"])).select("place", chosen["value"].alias("value"), (F.col("place") - F.col("first") + 1).alias("nth"))
+    wanted = chosen.select(F.col("value").alias("wanted")).distinct()
+    first = every.join(F.broadcast(wanted), F.col(order).eqNullSafe(F.col("wanted"))).withColumnRenamed("wanted", "value").groupBy("value").agg(F.min("place").alias("first")).toDF("same", "first")
+    chosen = save(chosen.join(first, F.col("value").eqNullSafe(F.col("same"))).select("place", "value", (F.col("place") - F.col("first") + 1).alias("nth")), "chosen")
     value, nth = fresh(rows, "value", "nth")
     found = rows.join(F.broadcast(chosen.select(F.col("value").alias(value)).distinct()), F.col(order).eqNullSafe(F.col(value)))
     found = found.withColumn(nth, F.row_number().over(Window.partitionBy(value).orderBy(value)))
