@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(max_rows)
     text = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
     measured = arrow_udf(lambda t: pa.array(list(features(t).astype(float)), pa.list_(pa.float64())), "array<double>")
-    rows = text.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("t")).limit(max_rows).select("k", "y", measured("t").alias("x")).toPandas().sort_values(["k", "y"], kind="stable")
+    rows = text.join(F.broadcast(chosen), "k").select("k", "y", measured("t").alias("x")).orderBy(F.xxhash64("k"), "k", "y", "x").limit(max_rows).toPandas().sort_values(["k", "y"], kind="stable")
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)).astype(np.float32)
     return train(x, (rows["y"].to_numpy() >= 0.5).astype(float))
 

@@ -30,6 +30,101 @@ def test_model_learns_single_features_and_pairs():
     assert ((quality.train(x[:4000], y[:4000], pairs=0).score(x[4000:]) > 0.5) == y[4000:]).mean() > 0.95
 
 
+def trained_by_hand(x, y, rounds, pairs):
+    """The same model by plain loops: cut points, tables of features and of pairs, as dictionaries of bins."""
+    n, width = x.shape
+    cuts = [sorted(set(np.quantile(x[:, f].astype(float), np.linspace(0, 1, quality.BINS + 1)[1:-1]).tolist())) for f in range(width)]
+    bins = [[sum(c <= float(v) for c in cuts[f]) for f, v in enumerate(row)] for row in x]
+    base = np.log(y.mean() / (1 - y.mean()))
+    tables, squares, z = [[0.0] * (len(c) + 1) for c in cuts], {}, [base] * n
+    gain = lambda g, h: g * g / (h + 1)
+
+    def slopes():
+        p = [1 / (1 + np.exp(-v)) for v in z]
+        return [t - q for t, q in zip(y, p)], [q * (1 - q) for q in p]
+
+    def split(g, h):
+        best = (0.0, 0) if len(g) < 2 else max(((gain(sum(g[:k]), sum(h[:k])) + gain(sum(g[k:]), sum(h[k:])) - gain(sum(g), sum(h)), -k) for k in range(1, len(g))))
+        return best[0], abs(best[1])
+
+    def tree(g, h, leaves):
+        parts = [(0, len(g))]
+        while len(parts) < leaves:
+            got = [(*split(g[lo:hi], h[lo:hi]), k) for k, (lo, hi) in enumerate(parts)]
+            v, cut, k = max(got)
+            if v <= 1e-9:
+                break
+            lo, hi = parts[k]
+            parts[k : k + 1] = [(lo, lo + cut), (lo + cut, hi)]
+        out = [0.0] * len(g)
+        for lo, hi in parts:
+            out[lo:hi] = [sum(g[lo:hi]) / (sum(h[lo:hi]) + 1)] * (hi - lo)
+        return out
+
+    def pair(f, k, g, h):
+        shape = len(tables[f]), len(tables[k])
+        sg, sh = np.zeros(shape), np.zeros(shape)
+        for b, u, v in zip(bins, g, h):
+            sg[b[f], b[k]] += u
+            sh[b[f], b[k]] += v
+        best, at = 0.0, np.zeros(shape)
+        for turn in (False, True):
+            a, c = (sg.T, sh.T) if turn else (sg, sh)
+            for cut in range(1, len(a), max(1, len(a) // 8)):
+                v, out = -gain(a.sum(), c.sum()), np.zeros_like(a)
+                for rows in (range(cut), range(cut, len(a))):
+                    p, q = a[list(rows)].sum(0).tolist(), c[list(rows)].sum(0).tolist()
+                    t = tree(p, q, 2)
+                    for u in sorted(set(t)):
+                        v += gain(sum(i for i, w in zip(p, t) if w == u), sum(i for i, w in zip(q, t) if w == u))
+                    out[list(rows)] = t
+                if v > best:
+                    best, at = v, out.T if turn else out
+        return best, at
+
+    for _ in range(rounds):
+        for f in range(width):
+            g, h = slopes()
+            hg, hh = [0.0] * len(tables[f]), [0.0] * len(tables[f])
+            for b, u, v in zip(bins, g, h):
+                hg[b[f]] += u
+                hh[b[f]] += v
+            step = [quality.RATE * v for v in tree(hg, hh, 3)]
+            tables[f] = [a + b for a, b in zip(tables[f], step)]
+            z = [v + step[b[f]] for v, b in zip(z, bins)]
+    g, h = slopes()
+    ranked = sorted((-pair(f, k, g, h)[0], f, k) for f in range(width) for k in range(f))
+    squares = {(f, k): np.zeros((len(tables[f]), len(tables[k]))) for _, f, k in ranked[:pairs]}
+    for _ in range(rounds // 6):
+        for f, k in squares:
+            step = quality.RATE * pair(f, k, *slopes())[1]
+            squares[f, k] = squares[f, k] + step
+            z = [v + step[b[f], b[k]] for v, b in zip(z, bins)]
+    return [1 / (1 + np.exp(-v)) for v in z]
+
+
+def test_training_and_scores_as_by_hand():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((160, 3)) * 9).astype(np.float32)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 5) | (x[:, 2] > 8)).astype(float)
+    model = quality.train(x, y, rounds=6, pairs=2)
+    assert np.allclose(model.score(x), trained_by_hand(x, y, 6, 2), atol=1e-6)
+    z = [model.base + sum(t[sum(c <= v for c in model.cuts[f])] for f, (t, v) in enumerate(zip(model.tables, row))) + sum(t[sum(c <= row[f] for c in model.cuts[f]), sum(c <= row[k] for c in model.cuts[k])] for (f, k), t in model.pairs.items()) for row in x]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(z))))
+
+
+def test_training_rows_are_bounded(spark):
+    docs = documents(spark, [(i % 3, f"word {i} and more", "s") for i in range(60)])
+    labels = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 1.0)], "doc_id bigint, quality double")
+    asked = []
+    kept, quality.train = quality.train, lambda x, y: asked.append(len(x))
+    try:
+        quality.fit(docs, labels, max_rows=7)
+    finally:
+        quality.train = kept
+    assert asked == [7]
+
+
 def test_features_as_by_hand():
     x = quality.features(pa.array(["The THE 12 a| a!\nb# The THE 12 a|.", None, "", " \n", "ß"]))
     f = dict(zip(quality.FEATURES, x[0].tolist()))
