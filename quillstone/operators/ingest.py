@@ -77,6 +77,105 @@ def risky_nil(x) -> bool:
     return False
 
 
+def without_nils(x, top: bool = True):
+    """Vectors and nested maps that hold a nil as one string; nils of the document itself stay."""
+    if isinstance(x, dict):
+        if not top and risky_nil(x):
+            return json.dumps(x, ensure_ascii=False, sort_keys=True)
+        return {k: without_nils(v, False) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return json.dumps(x, ensure_ascii=False, sort_keys=True) if risky_nil(x) else [without_nils(v, False) for v in x]
+    return x
+
+
+def flattened(x: dict) -> dict:
+    """Every collection of the document as one string."""
+    return {k: json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, (dict, list, tuple)) else v for k, v in x.items()}
+
+
+LADDER = (("ok", lambda d: d), ("rescued-1", without_nils), ("rescued-2", lambda d: flattened(without_nils(d))))
+
+
+def rescue(doc: dict, accepts) -> tuple[str, dict | None]:
+    """The first rung of the ladder whose document ``accepts`` takes (a refusal is False or raises), and that document;
+    ``failed`` where none is."""
+    for rung, change in LADDER:
+        made = change(doc)
+        try:
+            if accepts(made) is not False:
+                return rung, made
+        except Exception:  # noqa: BLE001  whatever the store says, the next rung is tried
+            continue
+    return "failed", None
+
+
+def storable(doc: dict) -> bool:
+    """What the operation log takes: no nil inside a vector or nested map."""
+    return bool(ensure_id(doc)) and not any(risky_nil(v) for v in doc.values())
+
+
+def ingest_verified(store, docs: DataFrame, accepts=storable, attempts: int = 2) -> DataFrame:
+    """Put documents (JSON strings in column ``doc``) into the tables they belong to, in one commit, read every id back and
+    put again what isn't there; (id, tbl, status) with the rung of the ladder, ``failed``, or ``lost``.
+
+    Documents are judged in Arrow batches by the executors; a document of no table goes to ``misc``."""
+    from ..sources.scratch import save
+    from ..sources.store import VIEWS
+
+    def judge(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for text in b["doc"]:
+                d = json.loads(text)
+                rung, made = rescue(d, accepts)
+                table = route(d)
+                rows.append((ensure_id(d), table if table in VIEWS else "misc", rung, None if made is None else json.dumps(made, ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=["id", "tbl", "status", "body"])
+
+    judged = save(docs.select("doc").mapInPandas(judge, "id string, tbl string, status string, body string"), "judged")
+    todo = judged.where("body is not null")
+    tables = [r.tbl for r in todo.select("tbl").distinct().collect()]  # one row a table
+    for _ in range(attempts):
+        frames = {t: store.puts(t, _typed(todo.where(F.col("tbl") == t), t)) for t in tables if not todo.where(F.col("tbl") == t).isEmpty()}
+        if frames:
+            store.commit(frames)
+        there = None
+        for t in tables:
+            one = store.log(t).select("id", F.lit(t).alias("tbl"))
+            there = one if there is None else there.union(one)
+        todo = todo if there is None else save(todo.join(there.distinct(), ["id", "tbl"], "left_anti"), "absent")
+        if todo.isEmpty():
+            break
+    lost = todo.select("id", "tbl", F.lit(True).alias("lost")).distinct()
+    return judged.join(lost, ["id", "tbl"], "left").select("id", "tbl", F.when(F.col("lost"), "lost").otherwise(F.col("status")).alias("status"))
+
+
+def _typed(rows: DataFrame, table: str) -> DataFrame:
+    """The view's columns of documents: a namespaced key wins over the bare one; names are written with hyphens there."""
+    from pyspark.sql.types import ArrayType, StringType, StructType
+
+    from ..sources.store import VIEWS
+
+    space = next((k.partition("/")[0] for k, t in MARKS.items() if t == table), "")
+    cols = [F.col("id")]
+    for f in StructType.fromDDL(VIEWS[table]):
+        if f.name == "id":
+            continue
+        if table in ("docs", "misc"):
+            cols.append(F.col("body").alias(f.name))
+            continue
+        keys = [k.format(f.name.replace("_", "-")) for k in ("$['" + space + "/{}']", "$['{}']")]
+        raw = F.coalesce(*[F.get_json_object("body", k) for k in keys])
+        if isinstance(f.dataType, (ArrayType, StructType)):
+            raw = F.from_json(raw, f.dataType)
+        elif not isinstance(f.dataType, StringType):
+            raw = raw.try_cast(f.dataType)
+        cols.append(raw.alias(f.name))
+    return rows.select(*cols)
+
+
 def denormalise(props: dict) -> dict:
     """prop/<name> of every keyword key; an unqualified key beats a qualified one."""
     out = {}
