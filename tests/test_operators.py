@@ -128,3 +128,16 @@ def test_activations(spark):
     log = spark.createDataFrame([("1", "2026-01-01", "a", "s", body), ("2", "2026-01-02", "a", "s", body), ("3", "2026-01-03", "a", "s", '{"event": "other"}')], "id string, at string, author string, session_id string, body string")
     got = corpus.activations(log, since="2026-01-02").collect()
     assert [(r.pattern, r["count"], r.avg_score, r.last_fired) for r in got] == [("p", 1, 0.5, "2026-01-02"), ("r", 1, 1.0, "2026-01-02")] and len(got[0].activations[0].query) == 240
+
+
+def test_wire_formats():
+    from quillstone.functions import wire
+
+    row = {"id": "e1", "type": "claim", "tags": ["a/b"], "tag_names": ["b"], "subject": {"ref_type": "thread", "ref_id": "t1"}, "author": None, "body": "x: y"}
+    doc = wire.public(row, "evidence")
+    assert doc == {":evidence/id": "e1", ":evidence/type": ":claim", ":evidence/tags": [":a/b"], ":evidence/subject": {":ref/type": "thread", ":ref/id": "t1"}, ":evidence/body": "x: y"}
+    kind, text_ = wire.render(doc)
+    assert kind == "application/edn" and list(edn.documents(io.StringIO(f"[{text_}]"))) == [doc]
+    kind, text_ = wire.render({":entries": [doc], ":types": [":claim"]}, "application/json, application/edn")
+    assert kind == "application/json" and json.loads(text_) == {"entries": [{"evidence/id": "e1", "evidence/type": "claim", "evidence/tags": ["a/b"], "evidence/subject": {"ref/type": "thread", "ref/id": "t1"}, "evidence/body": "x: y"}], "types": [":claim"]}
+    assert wire.render({}, "application/edn, application/json")[0] == wire.render({}, None)[0] == "application/edn"
