@@ -107,7 +107,7 @@ def sessions_page(evidence: DataFrame, limit: int | None = None, **filters) -> t
     return rows.orderBy(F.desc("latest_at"), F.desc("session_id")).limit(names.limit(limit, 100, 5000)), total
 
 
-STEPS = 32
+STEPS = 8
 
 
 def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
