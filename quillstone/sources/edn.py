@@ -6,12 +6,15 @@ maps, or one map with a vector of maps under some key."""
 from __future__ import annotations
 
 import glob
+import io
 import json
 import os
 import re
 from collections.abc import Iterator
 from typing import TextIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _END = object()
@@ -172,6 +175,35 @@ def sanitise(text: str) -> tuple[str, int]:
     return out, n
 
 
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|\\.|;[^\n]*\n|[^"\\;]+', re.S)
+
+
+class Sanitised:
+    """A source whose text is sanitised as it is read: what a string, a comment or a word needs of the next block waits for it."""
+
+    def __init__(self, source: TextIO):
+        self.source, self.rest, self.count = source, "", 0
+
+    def read(self, block: int = 1 << 16) -> str:
+        while True:
+            got = self.source.read(block)
+            self.rest += got
+            cut = len(self.rest) if not got else self._whole()
+            out, n = sanitise(self.rest[:cut])
+            self.rest, self.count = self.rest[cut:], self.count + n
+            if out or not got:
+                return out
+
+    def _whole(self) -> int:
+        """Up to where no token is begun and not ended."""
+        at = safe = 0
+        while at < len(self.rest) and (m := _PIECE.match(self.rest, at)):
+            blank = next((k for k in range(m.end() - 1, at - 1, -1) if self.rest[k].isspace()), None) if self.rest[at] not in '"\\;' else None
+            safe = blank + 1 if blank is not None else m.end() if self.rest[at] == ";" else safe
+            at = m.end()
+        return safe
+
+
 def documents(source: TextIO, key: str | None = None) -> Iterator[dict]:
     """The maps of a file, one at a time; of one map with vectors of maps, those under ``key`` (or the first such)."""
     r = Reader(source)
@@ -208,14 +240,26 @@ class _EdnReader(DataSourceReader):
         return [_File(p) for p in found]
 
     def read(self, part: _File):
-        import io
-
         with open(part.path, encoding="utf-8") as f:
-            source = io.StringIO(sanitise(f.read())[0]) if self.clean else f
-            for n, d in enumerate(documents(source, self.key)):
+            for n, d in enumerate(documents(Sanitised(f) if self.clean else f, self.key)):
                 yield part.path, n, json.dumps(d, ensure_ascii=False)
 
 
+def read(spark: SparkSession, path: str, key: str | None = None, clean: bool = False) -> DataFrame:
+    """(file, ordinal, doc) of the files of any file system that Spark reads: it lists them side by side and puts small ones
+    into one task.  A file is a row on the way, so one beyond 2 GB needs ``EdnSource``, which streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "ordinal", "doc"]
+        for b in batches:
+            for file, data in zip(*(b.column(k).to_pylist() for k in (0, 1))):
+                text = io.TextIOWrapper(io.BytesIO(data), encoding="utf-8")
+                rows = [json.dumps(d, ensure_ascii=False) for d in documents(Sanitised(text) if clean else text, key)]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.edn").load(path).select("path", "content").mapInArrow(run, "file string, ordinal bigint, doc string")
+
+
 class EdnSource(DataSource):
     """``spark.read.format("edn").load(path)``: (file, ordinal, doc).  Options: key (of the vector to read), sanitise."""
 

@@ -141,3 +141,20 @@ def test_wire_formats():
     kind, text_ = wire.render({":entries": [doc], ":types": [":claim"]}, "application/json, application/edn")
     assert kind == "application/json" and json.loads(text_) == {"entries": [{"evidence/id": "e1", "evidence/type": "claim", "evidence/tags": ["a/b"], "evidence/subject": {"ref/type": "thread", "ref/id": "t1"}, "evidence/body": "x: y"}], "types": [":claim"]}
     assert wire.render({}, "application/edn, application/json")[0] == wire.render({}, None)[0] == "application/edn"
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 16])
+def test_sanitising_as_it_is_read(block):
+    whole = '; a ::comment\n{::k "a ::b \\" ::c" :c \\: ::d/e [::x ::y] "::" ::long-word-without-end} ; ::end'
+    source = edn.Sanitised(io.StringIO(whole))
+    parts = []
+    while part := source.read(block):
+        parts.append(part)
+    assert ("".join(parts), source.count) == edn.sanitise(whole)
+
+
+def test_edn_files_of_any_file_system(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k}.edn").write_text("[{::a %d} {:b \"x\"}]" % k)
+    got = edn.read(spark, str(tmp_path), clean=True).orderBy("file", "ordinal").collect()
+    assert [json.loads(r.doc) for r in got] == [d for k in range(5) for d in ({":a": k}, {":b": "x"})] and [r.ordinal for r in got] == [0, 1] * 5
