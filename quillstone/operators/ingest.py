@@ -152,6 +152,13 @@ def ingest_verified(store, docs: DataFrame, accepts=storable, attempts: int = 2)
     return judged.join(lost, ["id", "tbl"], "left").select("id", "tbl", F.when(F.col("lost"), "lost").otherwise(F.col("status")).alias("status"))
 
 
+def summary(ingested: DataFrame) -> DataFrame:
+    """(tbl, documents, stored, rescued, unstored) of what ``ingest_verified`` returns."""
+    n = lambda c: F.count(F.when(c, 1))
+    bad = F.col("status").isin("failed", "lost")
+    return ingested.groupBy("tbl").agg(F.count("*").alias("documents"), n(~bad).alias("stored"), n(F.col("status").startswith("rescued")).alias("rescued"), n(bad).alias("unstored"))
+
+
 def _typed(rows: DataFrame, table: str) -> DataFrame:
     """The view's columns of documents: a namespaced key wins over the bare one; names are written with hyphens there."""
     from pyspark.sql.types import ArrayType, StringType, StructType

@@ -6,6 +6,7 @@ import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def canonical(x):
@@ -52,6 +53,26 @@ def row_checksum(columns: list[str]) -> Column:
     return F.md5(row_text(columns).cast("binary"))
 
 
+def canonical_column(c: Column, kind: DataType) -> Column:
+    """A nested value with its fields folded and in order, at every level."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind, key=lambda f: fold_key(f.name))
+        return F.when(c.isNotNull(), F.struct(*[canonical_column(c.getField(f.name), f.dataType).alias(fold_key(f.name)) for f in fields]))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+        return F.transform(c, lambda x: canonical_column(x, kind.elementType))
+    return c
+
+
+def canonical_json(rows: DataFrame, columns: list[str]) -> Column:
+    """Each row as JSON for comparison: keys folded and in order, nils of maps dropped, those of vectors kept."""
+    every = sorted(columns, key=fold_key)
+    return F.to_json(F.struct(*[canonical_column(F.col(f"`{c}`"), rows.schema[c].dataType).alias(fold_key(c)) for c in every]))
+
+
+def document_checksum(rows: DataFrame, columns: list[str]) -> Column:
+    return F.md5(canonical_json(rows, columns))
+
+
 def compare(source: DataFrame, target: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, status, keys): every key of either side as same, missing (from target), extra, or different with the columns that
     differ.  Only columns that the source row has count."""

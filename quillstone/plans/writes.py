@@ -110,3 +110,9 @@ def stream_projection(spark, d):
 
     rows = replay_projection(memory_edges(spark, d).select("id", F.explode("endpoints").alias("endpoint")), batches=3)
     return rows.where("endpoint like 'user-%'").groupBy("endpoint").agg(F.count("*").alias("components"), F.min("id").alias("first_id"))
+
+
+@query(f"""with {EV} select id, md5('{{"id":"' || id || '","subject":{{"ref_id":"' || ref_id || '","ref_type":"thread"}},"tags":["' || tags[1] || '","' || tags[2] || '"]}}') as checksum from ev where type = 'view'""")
+def verify_nested_checksum(spark, d):
+    rows = evidence(spark, d).where("type = 'view'")
+    return rows.select("id", verify.document_checksum(rows, ["tags", "subject", "id"]).alias("checksum"))

@@ -245,7 +245,7 @@ class _EdnReader(DataSourceReader):
                 yield part.path, n, json.dumps(d, ensure_ascii=False)
 
 
-def read(spark: SparkSession, path: str, key: str | None = None, clean: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, key: str | None = None, clean: bool = False, files: str = "*.{edn,txt}") -> DataFrame:
     """(file, ordinal, doc) of the files of any file system that Spark reads: it lists them side by side and puts small ones
     into one task.  A file is a row on the way, so one beyond 2 GB needs ``EdnSource``, which streams."""
 
@@ -257,7 +257,7 @@ def read(spark: SparkSession, path: str, key: str | None = None, clean: bool = F
                 rows = [json.dumps(d, ensure_ascii=False) for d in documents(Sanitised(text) if clean else text, key)]
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.edn").load(path).select("path", "content").mapInArrow(run, "file string, ordinal bigint, doc string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "content").mapInArrow(run, "file string, ordinal bigint, doc string")
 
 
 class EdnSource(DataSource):
@@ -274,6 +274,17 @@ class EdnSource(DataSource):
         return _EdnReader(self.options)
 
 
+def write(docs: DataFrame, path: str, column: str = "doc") -> None:
+    """Documents (JSON strings) as a folder of EDN, one file a partition and one document a line: what ``read`` takes as a
+    stream of maps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([edn(json.loads(x)) for x in b.column(0).to_pylist() if x is not None], pa.string())], ["value"])
+
+    docs.select(column).mapInArrow(run, "value string").write.text(path)
+
+
 def write_edn(path: str, docs: Iterator[dict]) -> int:
     """A vector of documents in EDN, written as they come; how many there were."""
     n = 0

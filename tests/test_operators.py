@@ -158,3 +158,17 @@ def test_edn_files_of_any_file_system(spark, tmp_path):
         (tmp_path / f"f{k}.edn").write_text("[{::a %d} {:b \"x\"}]" % k)
     got = edn.read(spark, str(tmp_path), clean=True).orderBy("file", "ordinal").collect()
     assert [json.loads(r.doc) for r in got] == [d for k in range(5) for d in ({":a": k}, {":b": "x"})] and [r.ordinal for r in got] == [0, 1] * 5
+
+
+def test_edn_written_by_partitions_reads_back(spark, tmp_path):
+    docs = [{":id": f"d{k}", ":text": 'a "b"\n', ":tags": [":x/y", None]} for k in range(20)]
+    edn.write(spark.createDataFrame([(json.dumps(d),) for d in docs] + [(None,)], "doc string").repartition(3), str(tmp_path / "out"))
+    got = [json.loads(r.doc) for r in edn.read(spark, str(tmp_path / "out")).collect()]
+    assert sorted(got, key=lambda d: d[":id"]) == sorted(docs, key=lambda d: d[":id"])
+
+
+def test_nested_rows_are_canonical(spark):
+    a = spark.createDataFrame([(1, {"Z": 1, "a": None}, [{"q": 2, "P": None}], [None, "x"])], "id int, M struct<Z: int, a: int>, v array<struct<q: int, P: int>>, t array<string>")
+    b = spark.createDataFrame([([None, "x"], 1, [{"p": None, "Q": 2}], {"A": None, "z": 1})], "t array<string>, ID int, v array<struct<p: int, Q: int>>, m struct<A: int, z: int>")
+    got = a.select(verify.canonical_json(a, a.columns)).first()[0]
+    assert got == b.select(verify.canonical_json(b, b.columns)).first()[0] == '{"id":1,"m":{"z":1},"t":[null,"x"],"v":[{"q":2}]}'

@@ -105,5 +105,7 @@ def test_ingest_reads_back_and_repairs(spark, tmp_path):
     got = {r.id: (r.tbl, r.status) for r in ingest.ingest_verified(store, df).collect()}
     assert got == {"n1": ("entities", "ok"), "e1": ("evidence", "rescued-1"), "m1": ("misc", "rescued-1"), None: ("misc", "failed")}
     assert store.table("entities").first().name == "Widget" and store.table("evidence").first().type == "note" and "what" in store.table("misc").first().body
+    got = {r.tbl: (r.documents, r.stored, r.rescued, r.unstored) for r in ingest.summary(ingest.ingest_verified(store, df)).collect()}
+    assert got == {"entities": (1, 1, 0, 0), "evidence": (1, 1, 1, 0), "misc": (2, 1, 1, 1)}
     store = Dropping(spark, str(tmp_path / "t"), Clock())
     assert {r.id: r.status for r in ingest.ingest_verified(store, df, attempts=1).collect()}["n1"] == "lost"
