@@ -10,6 +10,7 @@ scored, in one pass without a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -187,8 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     known = labels.select(F.col("doc_id").try_cast("bigint").alias("k"), F.col("quality").cast("double").alias("y")).where("k is not null and y is not null")
     chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(max_rows)
     text = docs.select(F.col(f"`{id_col}`").try_cast("bigint").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    measured = arrow_udf(lambda t: pa.array(list(features(t).astype(float)), pa.list_(pa.float64())), "array<double>")
-    rows = text.join(F.broadcast(chosen), "k").select("k", "y", measured("t").alias("x")).orderBy(F.xxhash64("k"), "k", "y", "x").limit(max_rows).toPandas().sort_values(["k", "y"], kind="stable")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(features(b.column(2)).astype(float)), pa.list_(pa.float64()))], ["k", "y", "x"])
+
+    rows = text.join(F.broadcast(chosen), "k").select("k", "y", "t").mapInArrow(measured, "k bigint, y double, x array<double>").orderBy(F.xxhash64("k"), "k", "y", "x").limit(max_rows).toPandas().sort_values(["k", "y"], kind="stable")
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)).astype(np.float32)
     return train(x, (rows["y"].to_numpy() >= 0.5).astype(float))
 
@@ -202,7 +207,13 @@ def classify(docs: DataFrame, model: Gam, least: float = LEAST, id_col: str = "d
 
     Defined cases: a null, empty or word-less text is scored like any other, on features that are all zero; ids may be
     null or repeated; other columns are ignored whatever their names; an empty table gives no rows."""
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), scorer(model)(F.col(f"`{text_col}`").cast("string")).alias("score"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(features(b.column(1))), pa.float64())], ["doc_id", "score"])
+
+    src = src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, score double")  # no text waits in the JVM for its score
     return src.select("doc_id", "score", (F.col("score") >= least).cast("int").alias("keep"))
 
 
