@@ -16,8 +16,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .edn import Reader, sanitise
 
-STATUSES = ("ok", "inactive", "failed")
-
 
 def fetch(url: str, timeout: float = 60, body: dict | None = None) -> dict:
     """An answer as a map without the colons of its keywords."""
