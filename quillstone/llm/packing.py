@@ -17,7 +17,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.functions import arrow_udf
 
 from ..sources.scratch import save
 from ._text import words
@@ -43,15 +42,29 @@ def tokeniser(vocabulary: str | None, pattern: str | None) -> Callable[[str], li
 
 
 def _counter(vocabulary: str | None, pattern: str | None):
-    def count(texts: pa.Array) -> pa.Array:
+    def count(texts: pa.Array) -> np.ndarray:
         if vocabulary is not None:
-            return pa.array([len(_encoder(vocabulary, pattern).encode_ordinary(t)) if t else 0 for t in (x.as_py() for x in texts)], pa.int64())
+            return np.array([len(_encoder(vocabulary, pattern).encode_ordinary(t)) if t else 0 for t in (x.as_py() for x in texts)], np.int64)
         n = [np.diff(w.first) for w in words(texts, hashed=False)]
-        return pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())
+        return np.concatenate(n) if n else np.zeros(0, np.int64)
 
     return count
 
 
+def _totals(vocabulary: str | None, pattern: str | None, ends: int):
+    """Tokens by range, one row a range and batch."""
+    count = _counter(vocabulary, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, of = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            n = np.zeros(len(parts), np.int64)
+            np.add.at(n, of, count(b.column(1)) + ends)
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(n)], ["part", "n"])
+
+    return run
+
+
 class _Cut:
     """Cuts one range's tokens; ``at`` is the global place of its first token."""
 
@@ -143,9 +156,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end: str = END, range_mb: float
         nth = F.col("nth")
     keyed = src.select(_place(F.col("doc_id"), F.col("text"), nth).alias("key"), "doc_id", "text")
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)).cast("int").alias("part")
-    count = arrow_udf(_counter(vocabulary, pattern), "bigint")("text") + (1 if end else 0)
     totals = np.zeros(ranges, np.int64)
-    for p, n in keyed.select(part, count.alias("n")).groupBy("part").agg(F.sum("n")).collect():  # MOST rows at most
+    for p, n in keyed.select(part, "text").mapInArrow(_totals(vocabulary, pattern, 1 if end else 0), "part int, n bigint").groupBy("part").agg(F.sum("n")).collect():  # MOST rows at most
         totals[p] = n
     offsets = np.concatenate([[0], np.cumsum(totals)])
     cut = keyed.select(part, "doc_id", "text", "key").repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key").mapInArrow(_cutter(offsets, window, end, vocabulary, pattern), _SCHEMA)
