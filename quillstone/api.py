@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -199,7 +200,13 @@ class Engine:
 
     def hyperedges(self, as_of=None, system_as_of=None, **query) -> graph.Listing:
         near = None
-        if query.get("type") is not None:
+        if query.get("end") is not None:
+            targets = [query["end"]]
+            if re.fullmatch(names.UUID, query["end"]):  # then searched by the entity's name too
+                found = self._one(self.store.table("entities").where(F.col("id") == query["end"]))
+                targets += [found["name"]] if found and found["name"] else []
+            near = F.arrays_overlap("endpoints", F.array(*[F.lit(t) for t in targets]))
+        elif query.get("type") is not None:
             near = F.col("type") == names.canonical(query["type"])
         basis = names.instant(as_of), names.instant(system_as_of)
         return graph.hyperedges(self.store.table("hyperedges", *basis, near), self.store.table("entities"), **query)
