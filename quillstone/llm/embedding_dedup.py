@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.scratch import save
 from ._components import components, label
 
-THRESHOLD, TREES, LEAF, SPILL, SHARE, SAMPLE_MB, SEED = 0.9, 8, 256, 0.15, 40_000, 64, 29
+THRESHOLD, TREES, LEAF, SPILL, SHARE, SAMPLE_MB, SEED = 0.9, 8, 256, 0.25, 40_000, 64, 29
 
 
 def _plane(seed: int, tree: int, path: int, dim: int) -> np.ndarray:
