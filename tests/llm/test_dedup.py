@@ -319,6 +319,20 @@ def test_fuzzy_passages_with_many_edits(spark):
     assert all(b == a + 1 and a % 2 == 0 for b, a in got)
 
 
+def test_fuzzy_passages_among_documents_of_a_hot_line(spark):
+    """Many documents hold a line too short for a passage; some two go on alike, with an edit every four words."""
+    rng = np.random.default_rng(44)
+    line, pairs = prose(rng, 34), {(130, 20), (47, 31), (149, 90)}
+    tails = {i: t for pair in sorted(pairs) for t in [prose(rng, 20).split(" ")] for i in pair}
+    rows = []
+    for i in range(150):
+        tail = [f"y{i}-{k}" if k % 4 == 3 else w for k, w in enumerate(tails.get(i, prose(rng, 20).split(" ")))]
+        rows.append((i, " ".join([prose(rng, 40), line, *tail, prose(rng, 40)]), "s"))
+    got = fuzzy_dedup.fuzzy_passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == pairs
+    assert len({r.class_id for r in got}) == 3 and all(r.class_id.split(":")[0] == str(r.other_id) for r in got)
+
+
 def test_common_words_and_stretches_as_by_hand():
     rng = np.random.default_rng(4)
     for _ in range(60):
