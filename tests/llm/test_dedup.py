@@ -333,6 +333,33 @@ def test_fuzzy_passages_among_documents_of_a_hot_line(spark):
     assert len({r.class_id for r in got}) == 3 and all(r.class_id.split(":")[0] == str(r.other_id) for r in got)
 
 
+def test_fuzzy_passages_beside_runs_of_one_word(spark, monkeypatch):
+    """Many documents repeat one word 15 to 23 times, too few for a passage: those with nothing else in common aren't aligned
+    in pairs.  Some two go on alike or begin alike; one has the word on both sides, and a long run holds it all."""
+    rng = np.random.default_rng(45)
+    after, before = {(50, 20), (33, 7), (59, 58)}, {(48, 31), (13, 11)}
+    alike = [{i: t for pair in sorted(pairs) for t in [prose(rng, 40).split(" ")] for i in pair} for pairs in (before, after)]
+    rows = []
+    for i in range(60):
+        left, right = (" ".join(f"y{i}-{k}" if k % 4 == 3 else w for k, w in enumerate(x.get(i, prose(rng, 40).split(" ")))) for x in alike)
+        run = "zz " * (60 if i == 12 else 15 + i % 9)
+        if i == 40:
+            run = "zz zz zz x1 " * 6 + "zz " * 15 + "x2 zz zz zz " * 6
+        rows.append((i, f"{prose(rng, 30)} {left} {run}{right} {prose(rng, 30)}", "s"))
+    aligned, save = [], fuzzy_dedup.save
+
+    def counted(df, name):
+        out = save(df, name)
+        if name == "chains":
+            aligned.append(out.select("b", "a").distinct().count())
+        return out
+
+    monkeypatch.setattr(fuzzy_dedup, "save", counted)
+    got = fuzzy_dedup.fuzzy_passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == after | before | {(40, 12)}
+    assert len(got) <= 20 and aligned[1] <= 30  # of 1,770 pairs
+
+
 def test_common_words_and_stretches_as_by_hand():
     rng = np.random.default_rng(4)
     for _ in range(60):
