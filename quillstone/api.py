@@ -408,4 +408,4 @@ class Engine:
             rows, _ = self._components(self.store.version)
             return memory.project(memory.within(rows), endpoints, limit)
         edges = self.store.table("hyperedges", names.instant(as_of), names.instant(system_as_of), F.col("type") == "memory/assert")
-        return memory.project_as_of(edges, self.store.table("evidence"), endpoints, limit)
+        return memory.project_as_of(memory.fitting(edges, endpoints, limit), self.store.table("evidence"), endpoints, limit)
