@@ -136,12 +136,16 @@ class Engine:
     def evidence_chain(self, ident: str) -> DataFrame:
         return ev.chain(self.store.table("evidence"), ident)
 
-    def text_search(self, q: str, limit=None, **filters) -> DataFrame:
-        """Entries in order of rank, from the index: no text is read but those of the entries that match."""
+    def text_matches(self, q: str, **filters) -> DataFrame:
+        """Every entry that matches, with its score, from the index: no text is read but those of the entries that match."""
         if not (q or "").strip():
             raise BadRequest("blank-query")
         ranked = text.search_index(self.store.log("postings"), self.store.log("text-docs"), q, None)
-        return ev.select(self.store.table("evidence"), **filters).join(ranked, "id").orderBy("score", "id").limit(names.limit(limit, 100))
+        return ev.select(self.store.table("evidence"), **filters).join(ranked, "id")
+
+    def text_search(self, q: str, limit=None, **filters) -> DataFrame:
+        """The best entries in order of rank, up to the route's limit; ``text_matches`` has them all."""
+        return self.text_matches(q, **filters).orderBy("score", "id").limit(names.limit(limit, 100))
 
     def text_stats(self) -> DataFrame:
         return text.index_stats(self.store.table("evidence"), self.store.log("text-docs"))

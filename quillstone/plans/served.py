@@ -120,12 +120,12 @@ FOLD = r"d as (select doc_id::varchar as id, lang, list_filter(string_split_rege
 
 @query(f"with {FOLD} select id from d where list_contains(toks, 'fur') or list_contains(toks, 'etre') or list_has_all(toks, ['y', 'racion'])")
 def served_text_folds(spark, d):
-    return library(spark, d).text_search("für OR Étre OR y RACIÓN", 5000).select("id")
+    return library(spark, d).text_matches("für OR Étre OR y RACIÓN").select("id")
 
 
 @query(f"with {FOLD} select id from d where lang = 'en' and contains(' ' || array_to_string(toks, ' ') || ' ', ' cc by nc 4 0 ') and not list_contains(toks, 'zzz')")
 def served_text_phrase(spark, d):
-    return library(spark, d).text_search("cc-by-nc-4.0", 5000, author="en").select("id")
+    return library(spark, d).text_matches("cc-by-nc-4.0", author="en").select("id")
 
 
 @query(f"with {FOLD}, " + """n as (select count(*) as n, avg(len(toks)) as avgdl, sum(list_contains(toks, 'uber')::int) as d0, sum(list_contains(toks, 'ete')::int) as d1 from d),

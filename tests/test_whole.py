@@ -20,3 +20,19 @@ def test_a_past_projection_takes_the_first_of_any_number(spark, tmp_path):
     e.store.append_documents("hyperedges", edges)
     with pytest.raises(BadRequest, match="projection-overflow"):  # the served route still refuses
         e.memory_projection(["a"], 3, as_of="2999-01-01T00:00:00Z")
+
+
+@pytest.fixture(scope="module")
+def shelf(spark, tmp_path_factory):
+    """More entries that match than the route's limit of 5000."""
+    e = Engine(Store(spark, str(tmp_path_factory.mktemp("shelf"))))
+    e.store.append_documents("evidence", spark.range(5200).select(F.col("id").cast("string"), F.lit("doc").alias("type"), F.lit("2020-01-01").alias("at"), F.concat(F.lit("Für b "), "id", F.lit(" c b c d")).alias("body")))
+    e.text_catch_up()
+    return e
+
+
+def test_all_matches_of_a_text(shelf):
+    assert shelf.text_matches("fur OR zzz").select("id").distinct().count() == 5200
+    assert shelf.text_matches("b-c-d").count() == 5200 and shelf.text_matches("b-77-c").select("id").collect()[0].id == "77"
+    with pytest.raises(Exception, match="invalid-limit"):  # the served route keeps its bound
+        shelf.text_search("fur", 5001)
