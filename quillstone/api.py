@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .functions import names
 from .functions.errors import BadRequest, NotFound, Refused
 from .operators import corpus, evidence as ev, graph, ingest, memory, text
-from .sources.store import VIEWS, Conflict, Store
+from .sources.store import FEW, VIEWS, Conflict, Store
 
 
 def _prop(props: dict | None, key: str):
@@ -156,7 +156,10 @@ class Engine:
         def write(base: int) -> int:
             from .sources.scratch import save
 
-            late = save(self.store.table("evidence").select("id", "body").join(self.store.log("text-docs"), "id", "left_anti"), "late")
+            late, done = self.store.table("evidence").select("id", "body"), self.store.folders("text-docs")
+            if done:  # bodies go to few ids, or meet them
+                new = save(late.select("id").join(self.store.read("text-docs", done), "id", "left_anti"), "late")
+                late = late.join(F.broadcast(new) if new.count() <= FEW else new, "id", "left_semi")
             n = late.count()
             if n:
                 self.store.commit(self._indexed(late), base=base)

@@ -56,11 +56,51 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", least:
     return docs.select(id_col, F.explode(tokens(F.col(text_col), least)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
 
 
+#: Tokens that are posted at once.
+SLICE = 1 << 20
+
+
+def _posted(batches):
+    """Postings of (id, dl, toks), in order of token within some documents at a time: no posting of a document waits for
+    another's, so nothing is shuffled, and few pages have a token."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def some(b):
+        toks, n = b.column("toks"), b.num_rows
+        flat, size = toks.flatten(), pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        key = rank[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), size)  # by token, then document
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        word, doc = np.divmod(key[first], n)
+        ends = np.r_[first, len(key)]
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[by], pa.int32()))
+        dl = pa.array(size[doc], pa.int32())
+        got = [coded.dictionary.take(order).take(pa.array(word)), b.column("id").take(pa.array(doc)), pa.array(np.diff(ends), pa.int32()), places, dl]
+        return pa.RecordBatch.from_arrays(got, ["token", "id", "tf", "places", "dl"])
+
+    for b in batches:
+        size = pc.list_value_length(b.column("toks")).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // SLICE
+        for begin, end in zip(cuts := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*cuts[1:], b.num_rows]):
+            if size[begin:end].sum():
+                out = some(b.slice(begin, end - begin))
+                yield from (out.slice(k, 1 << 16) for k in range(0, out.num_rows, 1 << 16))
+
+
 def index(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings with places (token, id, tf, places, dl) and documents with their length (id, dl), for ``search_index``."""
+    """Postings with places (token, id, tf, places, dl) and documents with their length (id, dl), for ``search_index``.
+    A document is one row."""
     toks = docs.select(F.col(id_col).alias("id"), folded_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
-    each = toks.select("id", F.size("toks").alias("dl"), F.posexplode("toks").alias("place", "token"))
-    posts = each.groupBy("token", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"), F.first("dl").alias("dl"))
+    kind = toks.schema["id"].dataType.simpleString()
+    posts = toks.mapInArrow(_posted, f"token string, id {kind}, tf int, places array<int>, dl int")
     return posts, toks.select("id", F.size("toks").alias("dl"))
 
 
@@ -154,14 +194,16 @@ def search_postings(posts: DataFrame, lengths: DataFrame, query: str, limit: int
 def search_index(posts: DataFrame, lengths: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
     """(id, score) from an ``index``: only the query's tokens are read, and phrases are held against their places."""
     match = parse_match(query)
-    rows = _weighed(posts.where(F.col("token").isin(terms(match))), lengths)
-    out = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"), _score())
+    words = {t: f"at{k}" for k, t in enumerate(terms(match))}
+    rows = _weighed(posts.where(F.col("token").isin(list(words))), lengths)
+    at = [F.flatten(F.collect_list(F.when(F.col("token") == t, F.col("places")))).alias(c) for t, c in words.items()]
+    out = rows.groupBy("id").agg(*at, _score())
 
     def phrase(p: list[str]) -> Column:
-        begin = F.try_element_at("at", F.lit(p[0]))
+        begin = F.col(words[p[0]])
         for k, t in enumerate(p[1:], 1):
-            begin = F.array_intersect(begin, F.transform(F.try_element_at("at", F.lit(t)), (lambda k: lambda x: x - k)(k)))
-        return F.coalesce(F.size(begin) > 0, F.lit(False))
+            begin = F.array_intersect(begin, F.transform(words[t], (lambda k: lambda x: x - k)(k)))
+        return F.size(begin) > 0
 
     held = F.lit(False)
     for a in match:

@@ -40,6 +40,7 @@ APPEND_ONLY = frozenset({"evidence"})
 FOLLOW = {"evidence": ("postings", "text-docs")}  # erased with it
 CLUSTER = {"postings": "token"}
 FILE_MB = 128
+FEW = 100_000  # ids that are broadcast, once they have been counted
 
 
 class Conflict(RuntimeError):
@@ -134,8 +135,8 @@ class Store:
         return [f for f in self.state()[1]["tables"].get(table, []) if int(f.rpartition("/")[2].split("-")[0]) > after]
 
     def read(self, table: str, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], schema(table))
+        if not folders:  # known to be empty, so that joins with it vanish
+            return self.spark.range(0).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema(table)])
         return self.spark.read.schema(schema(table)).parquet(*[f"{self.path}/data/{f}" for f in folders])
 
     def log(self, table: str) -> DataFrame:

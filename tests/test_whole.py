@@ -36,3 +36,29 @@ def test_all_matches_of_a_text(shelf):
     assert shelf.text_matches("b-c-d").count() == 5200 and shelf.text_matches("b-77-c").select("id").collect()[0].id == "77"
     with pytest.raises(Exception, match="invalid-limit"):  # the served route keeps its bound
         shelf.text_search("fur", 5001)
+
+
+def test_an_index_is_made_without_a_shuffle(spark):
+    from quillstone.operators import text
+
+    docs = spark.createDataFrame([("a", "x y x été z"), ("b", ""), ("c", "y"), ("d", None), ("e", "x")], "id string, text string")
+    posts, lengths = text.index(docs)
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    got = sorted((r.token, r.id, r.tf, r.places, r.dl) for r in posts.collect())
+    assert got == [("ete", "a", 1, [3], 5), ("x", "a", 2, [0, 2], 5), ("x", "e", 1, [0], 1), ("y", "a", 1, [1], 5), ("y", "c", 1, [0], 1), ("z", "a", 1, [4], 5)]
+    assert {r.id: r.dl for r in lengths.collect()} == {"a": 5, "b": 0, "c": 1, "d": 0, "e": 1}
+
+
+@pytest.mark.parametrize("slice_", [3, 1 << 20])
+def test_postings_of_slices_are_those_of_all(slice_, monkeypatch):
+    import pyarrow as pa
+
+    from quillstone.operators import text
+
+    monkeypatch.setattr(text, "SLICE", slice_)
+    toks = [["b", "a", "b"], [], ["a"], ["c", "c", "c", "c", "a"], ["a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array("01234"[k] for k in range(5)), pa.array(toks)], ["id", "toks"])
+    got = sorted((r["token"], r["id"], r["tf"], r["places"], r["dl"]) for out in text._posted([batch, batch.slice(0, 0)]) for r in out.to_pylist())
+    want = sorted((t, str(k), ts.count(t), [i for i, x in enumerate(ts) if x == t], len(ts)) for k, ts in enumerate(toks) for t in set(ts))
+    assert got == want
