@@ -208,16 +208,25 @@ class Engine:
     def hyperedges(self, as_of=None, system_as_of=None, **query) -> graph.Listing:
         near = None
         if query.get("end") is not None:
-            targets = [query["end"]]
-            if re.fullmatch(names.UUID, query["end"]):  # then searched by the entity's name too
-                found = self._one(self.store.table("entities").where(F.col("id") == query["end"]))
-                targets += [found["name"]] if found and found["name"] else []
-            near = F.arrays_overlap("endpoints", F.array(*[F.lit(t) for t in targets]))
+            near = self._at_any(self._targets(query["end"]))
         elif query.get("type") is not None:
             near = F.col("type") == names.canonical(query["type"])
         basis = names.instant(as_of), names.instant(system_as_of)
         return graph.hyperedges(self.store.table("hyperedges", *basis, near), self.store.table("entities"), **query)
 
+    def _targets(self, end: str) -> list[str]:
+        """An end, which is searched by the entity's name too if it is a UUID."""
+        found = self._one(self.store.table("entities").where(F.col("id") == end)) if re.fullmatch(names.UUID, end) else None
+        return list(dict.fromkeys([end] + ([found["name"]] if found and found["name"] else [])))
+
+    def _at_any(self, targets: list[str]):
+        return F.arrays_overlap("endpoints", F.array(*[F.lit(t) for t in targets]))
+
+    def edges_at(self, end: str, type: str | None = None, as_of=None, system_as_of=None) -> DataFrame:
+        """Every edge at an end; ``hyperedges`` lists the first ones by id, up to the route's limit."""
+        targets = self._targets(end)
+        return graph.with_endpoint(self.store.table("hyperedges", names.instant(as_of), names.instant(system_as_of), self._at_any(targets)), *targets, type=type)
+
     # entities
 
     def entity_ensure(self, doc: dict, penholder: str | None = None) -> Written:

@@ -50,16 +50,21 @@ def _thread(spark, d: str) -> DataFrame:
     return rows.select("*", F.lit("thread").alias("type"), F.lit("step").alias("claim_type"), F.lit("crowd").alias("author"), F.lit("2020-01-01").alias("at"), F.lit("{}").alias("body"))
 
 
-def served(spark, d: str) -> Engine:
-    def fill(e: Engine) -> Engine:
-        edges = adapters.hyperedges(spark, d).select("id", "type", "endpoints", "repo", "source_file")
-        e.store.commit({
-            "evidence": e.store.puts("evidence", adapters.evidence(spark, d).unionByName(_thread(spark, d), allowMissingColumns=True)),
-            "hyperedges": e.store.puts("hyperedges", edges), "entities": e.store.puts("entities", adapters.entities(spark, d)), "relations": e.store.puts("relations", adapters.relations(spark, d).drop("from", "to")),
-        })
-        return e
+FILL = {
+    "evidence": lambda spark, d: adapters.evidence(spark, d).unionByName(_thread(spark, d), allowMissingColumns=True),
+    "hyperedges": lambda spark, d: adapters.hyperedges(spark, d).select("id", "type", "endpoints", "repo", "source_file"),
+    "entities": adapters.entities,
+    "relations": lambda spark, d: adapters.relations(spark, d).drop("from", "to"),
+}
+
 
-    return _once(spark, d, "graph", fill)
+def served(spark, d: str, *tables: str) -> Engine:
+    """A store of the session; a table is written whole when a query first reads it."""
+    e = _once(spark, d, "graph", lambda e: e)
+    new = [t for t in tables if not e.store.folders(t)]
+    if new:
+        e.store.commit({t: e.store.puts(t, FILL[t](spark, d)) for t in new})
+    return e
 
 
 def library(spark, d: str) -> Engine:
@@ -82,18 +87,18 @@ def one(spark, row: dict, *cols: str) -> DataFrame:
 @query("select 'evidence' as tbl, ((select count(*) from events) + (select count(*) from customer))::bigint as n union all select 'hyperedges', count(distinct (l_returnflag, l_orderkey, l_partkey, l_suppkey)) from lineitem union all "
        "select 'entities', (select count(*) from part) + (select count(*) from customer) + (select count(*) from supplier) + 30 union all select 'relations', 25 + (select count(*) from customer) + (select count(*) from supplier) + (select count(*) from orders)")
 def served_health(spark, d):
-    got = served(spark, d).health(deep=True)["tables"]
+    got = served(spark, d, *FILL).health(deep=True)["tables"]
     return spark.createDataFrame([(t, got[t]) for t in ("evidence", "hyperedges", "entities", "relations")], "tbl string, n bigint")
 
 
 @query(f"with {EV} select id, type, author, at from ev where id = 'e-17'")
 def served_point(spark, d):
-    return one(spark, served(spark, d).evidence("e-17"), "id", "type", "author", "at")
+    return one(spark, served(spark, d, "evidence").evidence("e-17"), "id", "type", "author", "at")
 
 
 @query(f"with {EV} select id, at, author from ev where type = 'click' and coalesce(ephemeral, false) = false and list_contains(tag_names, 'k1') order by at desc, id desc limit 25 offset 25")
 def served_second_page(spark, d):
-    e = served(spark, d)
+    e = served(spark, d, "evidence")
     ask = dict(limit=25, type="click", tags="k1", include_ephemeral="false", whole=False)
     at, ident = e.evidence_page(**ask).next_cursor
     return e.evidence_page(cursor_at=at, cursor_id=ident, **ask).entries.select("id", "at", "author")
@@ -101,18 +106,18 @@ def served_second_page(spark, d):
 
 @query(f"with {EV} select count(*)::bigint as n from ev where claim_type = 'step' and pattern_id = 'agent/p1' and coalesce(ephemeral, false) = false")
 def served_count(spark, d):
-    return spark.createDataFrame([(served(spark, d).evidence_count(claim_type="step", pattern_id="agent/p1", include_ephemeral="false"),)], "n bigint")
+    return spark.createDataFrame([(served(spark, d, "evidence").evidence_count(claim_type="step", pattern_id="agent/p1", include_ephemeral="false"),)], "n bigint")
 
 
 @query(f"with {EV}, s as (select session_id, count(*) as n, max(at) as last from ev group by 1) select session_id, n::bigint as n from s order by last desc, session_id desc limit 40")
 def served_sessions(spark, d):
-    return served(spark, d).evidence_sessions(40)[0].select("session_id", F.col("count").alias("n"))
+    return served(spark, d, "evidence").evidence_sessions(40)[0].select("session_id", F.col("count").alias("n"))
 
 
 @query("select 'th-' || c_custkey as id, c_custkey::bigint as depth from customer")
 def served_long_chain(spark, d):
     last = read(spark, d, "customer").agg(F.max("c_custkey")).first()[0]
-    return served(spark, d).evidence_chain(f"th-{last}").select("id", "depth")
+    return served(spark, d, "evidence").evidence_chain(f"th-{last}").select("id", "depth")
 
 
 FOLD = r"d as (select doc_id::varchar as id, lang, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: len(t) >= 1) as toks from documents)"
@@ -143,35 +148,35 @@ def served_text_stats(spark, d):
 
 @query(f"with {HX} select distinct id, repo, (select count(distinct id) from hx where type = 'order/A')::bigint as total from hx where type = 'order/A' order by id limit 20")
 def served_edges_of_type(spark, d):
-    got = served(spark, d).hyperedges(type=":order/A", limit=20)
+    got = served(spark, d, "hyperedges").hyperedges(type=":order/A", limit=20)
     return got.rows.select("id", "repo", F.lit(got.count).cast("bigint").alias("total"))
 
 
 @query(f"with {HX} select distinct id, type from hx where list_contains(endpoints, 'part:5')")
 def served_edges_at_end(spark, d):
-    return served(spark, d).hyperedges(end="part:5", limit=5000).rows.select("id", "type")
+    return served(spark, d, "hyperedges").edges_at("part:5").select("id", "type")
 
 
 @query(f"with {ENT} select id, name from ent where type = 'party/supplier' order by name limit 50")
 def served_entities_latest(spark, d):
-    return served(spark, d).entities_latest("party/supplier", 50).select("id", "name")
+    return served(spark, d, "entities").entities_latest("party/supplier", 50).select("id", "name")
 
 
 @query(f"with {ENT} select id, name, type from ent where id = 'nation:3'")
 def served_entity_by_name(spark, d):
-    row = served(spark, d)
+    row = served(spark, d, "entities")
     name = row.entity("nation:3")["name"]
     return one(spark, row.entity(name), "id", "name", "type")
 
 
 @query(f"with {REL} select id, src from rel where dst = 'nation:3' and type = 'geo/in-nation' order by id limit 100")
 def served_relations_to(spark, d):
-    return served(spark, d).relations(type="geo/in-nation", dst="nation:3")[0].select("id", "src")
+    return served(spark, d, "relations").relations(type="geo/in-nation", dst="nation:3")[0].select("id", "src")
 
 
 @query(f"with {HX}, {ENT} select 'order/R' as type, count(distinct id)::bigint as n from hx where type = 'order/R' union all select 'geo/nation', count(*) from ent where type = 'geo/nation'")
 def served_census(spark, d):
-    e = served(spark, d)
+    e = served(spark, d, "hyperedges", "entities")
     return spark.createDataFrame([("order/R", e.census(type="order/R")["count"]), ("geo/nation", e.census(entity_type="geo/nation")["count"])], "type string, n bigint")
 
 

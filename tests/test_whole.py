@@ -62,3 +62,45 @@ def test_postings_of_slices_are_those_of_all(slice_, monkeypatch):
     got = sorted((r["token"], r["id"], r["tf"], r["places"], r["dl"]) for out in text._posted([batch, batch.slice(0, 0)]) for r in out.to_pylist())
     want = sorted((t, str(k), ts.count(t), [i for i, x in enumerate(ts) if x == t], len(ts)) for k, ts in enumerate(toks) for t in set(ts))
     assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [(100, 100), (0, 100), (0, 0)])
+def test_a_condition_finds_the_same_however_many_satisfy_it(spark, tmp_path, monkeypatch, few):
+    from quillstone.sources import store as st
+
+    class Few(int):  # the first count is of ids found, the second of ids written again
+        left = list(few)
+
+        def __ge__(self, n):
+            return n <= Few.left.pop(0)
+
+    s = Store(spark, str(tmp_path))
+    row = lambda k, t: ("put", {"id": f"n{k}", "name": "x", "type": t})
+    s.write("entities", [row(k, "old") for k in range(8)] + [row(0, "new"), row(1, "new"), row(1, "old")])
+    s.write("entities", [row(2, "new"), ("delete", {"id": "n3"}), ("delete", {"id": "n9"})])
+    monkeypatch.setattr(st, "FEW", Few())
+    got = s.table("entities", where=F.col("type") == "old")
+    assert not Few.left[1:] and sorted(r.id for r in got.collect()) == ["n1", "n4", "n5", "n6", "n7"]
+    if few == (0, 100):  # ids of one operation aren't shuffled
+        once = plan(got).split("Union", 1)[1].split("LeftAnti", 1)[0]
+        assert "Aggregate" not in once and "Exchange hash" not in once
+
+
+def test_a_served_query_writes_the_tables_it_reads(spark, monkeypatch):
+    from quillstone.plans import served as s
+
+    monkeypatch.setattr(s, "_kept", {})
+    e = s.served(spark, SF, "relations")
+    assert e.store.folders("relations") and not any(e.store.folders(t) for t in ("evidence", "hyperedges", "entities"))
+    had = e.store.folders("relations")
+    assert s.served(spark, SF, "entities", "relations") is e and e.store.folders("entities") and e.store.folders("relations") == had
+
+
+def test_every_edge_at_an_end(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.store.append_documents("hyperedges", spark.range(5200).select(F.concat(F.lit("h"), "id").alias("id"), F.lit("t").alias("type"), F.array(F.lit("a"), F.col("id").cast("string")).alias("endpoints")))
+    assert e.edges_at("a").count() == 5200 and [r.id for r in e.edges_at("77").collect()] == ["h77"] and e.edges_at("a", "other").count() == 0
