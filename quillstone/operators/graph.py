@@ -176,11 +176,18 @@ def inhabited(bindings: list[dict], entities: DataFrame, edges: DataFrame) -> Da
     of_entity = names.any_equals(F.col("type"), sorted({r[2] for r in rows if r[1] == "entity" and r[2]}) or [""])
     # types are made distinct before they meet the request: a type of a billion entities is one row there
     have = asked.where("kind = 'entity'").join(entities.where(of_entity).select("type").distinct(), "type", "left_semi").select("n")
-    kinds = {t for r in rows if r[1] == "hyperedge" for t in r[3]}
+    kinds = sorted({t for r in rows if r[1] == "hyperedge" for t in r[3]})
     of_type = names.any_equals(F.col("type"), sorted({r[2] for r in rows if r[1] == "hyperedge" and r[2]}) or [""])
+    of_ends = names.any_equals(F.col("type"), sorted({r[2] for r in rows if r[1] == "hyperedge" and r[2] and r[3]}) or [""])
     some = edges.where(of_type)
-    ends = exploded(some).withColumnRenamed("type", "edge_type").join(entities.where(names.any_equals(F.col("type"), sorted(kinds) or [""])).select(F.col("id").alias("endpoint"), F.col("type").alias("end_type")), "endpoint")
-    found = ends.groupBy("id", "edge_type").agg(F.collect_set("end_type").alias("found")).groupBy("edge_type", "found").agg(F.count("*").alias("edges"))
+    # a kind is a bit, 32 to a number: partial results of an edge combine in place
+    nth = F.create_map(*[F.lit(x) for k, t in enumerate(kinds) for x in (t, k)])[F.col("type")] if kinds else F.lit(0)
+    of_kind = entities.where(names.any_equals(F.col("type"), kinds or [""])).select(F.col("id").alias("endpoint"), nth.alias("nth"))
+    ends = exploded(edges.where(of_ends)).withColumnRenamed("type", "edge_type").join(of_kind, "endpoint")
+    bit = F.expr("shiftleft(1L, nth % 32)")
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("nth") / 32) == w, bit)), F.lit(0)).alias(f"w{w}") for w in range(max(1, -(-len(kinds) // 32)))]
+    found = ends.groupBy("id", "edge_type").agg(*words).drop("id").distinct()
+    found = found.select("edge_type", F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(f"w{k // 32}").bitwiseAND(F.lit(1 << k % 32)) != 0, F.lit(t)) for k, t in enumerate(kinds)])).alias("found"))
     typed = asked.where("kind = 'hyperedge' and size(wanted) > 0").join(found, F.col("type") == F.col("edge_type")).where("size(array_except(wanted, found)) = 0").select("n")
     plain = asked.where("kind = 'hyperedge' and size(wanted) = 0").join(some.select("type").distinct(), "type", "left_semi").select("n")
     yes = have.union(typed).union(plain).distinct().withColumn("yes", F.lit(True))

@@ -104,3 +104,14 @@ def test_every_edge_at_an_end(spark, tmp_path):
     e = Engine(Store(spark, str(tmp_path)))
     e.store.append_documents("hyperedges", spark.range(5200).select(F.concat(F.lit("h"), "id").alias("id"), F.lit("t").alias("type"), F.array(F.lit("a"), F.col("id").cast("string")).alias("endpoints")))
     assert e.edges_at("a").count() == 5200 and [r.id for r in e.edges_at("77").collect()] == ["h77"] and e.edges_at("a", "other").count() == 0
+
+
+def test_inhabited_with_many_kinds_needs_no_sets(spark):
+    from quillstone.operators import graph
+
+    kinds = [f"k{k:02d}" for k in range(70)]
+    entities = spark.createDataFrame([(f"e{k}", t) for k, t in enumerate(kinds)] + [("f", "k00")], "id string, type string")
+    edges = spark.createDataFrame([("x", "all", [f"e{k}" for k in range(70)]), ("y", "some", ["e0", "e33", "none"]), ("z", "some", ["f", "e69"])], "id string, type string, endpoints array<string>")
+    ask = lambda t, *ks: {"kind": "hyperedge", "type": t, "endpoint_types": list(ks)}
+    got = graph.inhabited([ask("all", *kinds), ask("some", "k00", "k33"), ask("some", "k33", "k69"), ask("some", "k00", "k69"), ask("some"), ask("none", "k00")], entities, edges)
+    assert [r.inhabited for r in got.collect()] == [True, True, False, True, True, False] and "collect_set" not in plan(got)
