@@ -115,3 +115,9 @@ def test_inhabited_with_many_kinds_needs_no_sets(spark):
     ask = lambda t, *ks: {"kind": "hyperedge", "type": t, "endpoint_types": list(ks)}
     got = graph.inhabited([ask("all", *kinds), ask("some", "k00", "k33"), ask("some", "k33", "k69"), ask("some", "k00", "k69"), ask("some"), ask("none", "k00")], entities, edges)
     assert [r.inhabited for r in got.collect()] == [True, True, False, True, True, False] and "collect_set" not in plan(got)
+
+
+def test_the_guard_of_posted_edges_shuffles_once_a_side(spark):
+    from quillstone.plans import writes
+
+    assert plan(writes.ingest_noop_guard(spark, SF)).count("Exchange hashpartitioning") == 2
