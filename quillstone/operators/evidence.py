@@ -149,18 +149,20 @@ def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
 
 def roots(evidence: DataFrame) -> DataFrame:
     """(id, root, depth) of every entry, by pointer jumping: each round doubles the steps taken, so a thread of a million
-    replies takes twenty joins.  A missing parent ends a chain; entries that lead into a cycle have no root."""
-    from ..sources.scratch import drop, save
+    replies takes twenty joins.  A missing parent ends a chain; entries that lead into a cycle have no root.  Only entries
+    without a root so far are joined again, with those they point to."""
+    from ..sources.scratch import save
 
     links = save(evidence.select("id", F.col("in_reply_to").alias("up")), "links")
     known = links.select(F.col("id").alias("known"))
     start = links.join(known, F.col("up") == F.col("known"), "left").select("id", F.col("known").alias("up"), F.when(F.col("known").isNull(), F.col("id")).alias("root"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
     at, n = save(start, "jump"), links.count()
+    done, open_ = at.where("root is not null"), at.where("root is null")
     for _ in range(max(1, n).bit_length() + 1):
-        if at.where("root is null").limit(1).count() == 0:
+        if open_.limit(1).count() == 0:
             break
-        far = at.toDF("far_id", "far_up", "far_root", "far_depth")
-        step = at.join(far, (F.col("up") == F.col("far_id")) & F.col("root").isNull(), "left").select("id", F.when(F.col("far_id").isNull(), F.col("up")).otherwise(F.col("far_up")).alias("up"), F.coalesce("root", "far_root").alias("root"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"))
-        old, at = at, save(step, "jump")
-        drop(old)
-    return at.select("id", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
+        far = done.unionByName(open_).toDF("far_id", "far_up", "far_root", "far_depth")
+        step = open_.join(far, F.col("up") == F.col("far_id"), "left").select("id", F.when(F.col("far_id").isNull(), F.col("up")).otherwise(F.col("far_up")).alias("up"), F.col("far_root").alias("root"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"))
+        now = save(step, "jump")
+        done, open_ = done.unionByName(now.where("root is not null")), now.where("root is null")
+    return done.unionByName(open_).select("id", "root", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))

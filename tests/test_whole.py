@@ -121,3 +121,28 @@ def test_the_guard_of_posted_edges_shuffles_once_a_side(spark):
     from quillstone.plans import writes
 
     assert plan(writes.ingest_noop_guard(spark, SF)).count("Exchange hashpartitioning") == 2
+
+
+def _saved(monkeypatch, name, look):
+    from quillstone.sources import scratch
+
+    true, seen = scratch.save, []
+
+    def save(df, n):
+        back = true(df, n)
+        if n == name:
+            seen.append(look(df, back))
+        return back
+
+    monkeypatch.setattr(scratch, "save", save)
+    return seen
+
+
+def test_roots_join_only_what_has_none(spark, monkeypatch):
+    from quillstone.operators import evidence as ev
+
+    rows = [(f"a{k}", None) for k in range(50)] + [(f"b{k}", f"a{k}") for k in range(5)] + [("c", "b0"), ("d", "c"), ("x", "y"), ("y", "x"), ("l", "gone")]
+    seen = _saved(monkeypatch, "jump", lambda df, back: back.count())
+    got = {r.id: (r.root, r.depth) for r in ev.roots(spark.createDataFrame(rows, "id string, in_reply_to string")).collect()}
+    assert got["d"] == ("a0", 3) and got["b4"] == ("a4", 1) and got["l"] == ("l", 0) and got["x"] == got["y"] == (None, None) and len(got) == len(rows)
+    assert seen[0] == len(rows) and max(seen[1:]) == 9  # later rounds leave the fifty roots alone
