@@ -108,6 +108,12 @@ def sessions_page(evidence: DataFrame, limit: int | None = None, **filters) -> t
 
 
 STEPS = 8
+FEW = 10_000  # ancestors that are broadcast
+
+
+def _met(found: DataFrame, size: int) -> DataFrame:
+    """Rows as one side of a join: broadcast only if they are few, so that no round sends a large table through the driver."""
+    return found.hint("broadcast" if size <= FEW else "merge")
 
 
 def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
@@ -116,7 +122,7 @@ def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
 
     The first ``steps`` replies are followed one by one, which joins a single row each time; what is left of a longer
     thread by doubling: round k joins the ancestors so far with the links of 2**k steps, so a million replies take twenty
-    rounds more, each written to the shared folder."""
+    rounds more, each written to the shared folder.  Of these tables only few ancestors are broadcast."""
     from ..sources.scratch import save
 
     links = evidence.select("id", F.col("in_reply_to").alias("up"))
@@ -134,14 +140,15 @@ def chain(evidence: DataFrame, ident: str, steps: int = STEPS) -> DataFrame:
         jump, width, size = save(links.where("up is not null"), "jump"), 1, 0
         found = found.where("n = 0")
         while True:
-            more = found.join(jump, "id").select(F.col("up").alias("id"), (F.col("n") + width).alias("n"))
+            more = _met(found, size).join(jump.hint("merge"), "id").select(F.col("up").alias("id"), (F.col("n") + width).alias("n"))
             found = save(found.union(more).groupBy("id").agg(F.min("n").alias("n")), "chain")
             now = found.count()
             if now == size:
                 break
             size, width = now, 2 * width
             far = jump.toDF("mid", "far")
-            jump = save(jump.join(far, F.col("up") == F.col("mid")).select("id", F.col("far").alias("up")), "jump")
+            jump = save(jump.hint("merge").join(far, F.col("up") == F.col("mid")).select("id", F.col("far").alias("up")), "jump")
+        found = _met(found, size)
     known = evidence.join(found, "id")
     top = found.join(evidence.select("id"), "id", "left_semi").agg(F.max("n").alias("top"))
     return known.crossJoin(F.broadcast(top)).withColumn("depth", F.col("top") - F.col("n")).drop("top", "n").orderBy("depth")

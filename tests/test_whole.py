@@ -146,3 +146,12 @@ def test_roots_join_only_what_has_none(spark, monkeypatch):
     got = {r.id: (r.root, r.depth) for r in ev.roots(spark.createDataFrame(rows, "id string, in_reply_to string")).collect()}
     assert got["d"] == ("a0", 3) and got["b4"] == ("a4", 1) and got["l"] == ("l", 0) and got["x"] == got["y"] == (None, None) and len(got) == len(rows)
     assert seen[0] == len(rows) and max(seen[1:]) == 9  # later rounds leave the fifty roots alone
+
+
+def test_long_chains_broadcast_no_links(spark, monkeypatch):
+    from quillstone.operators import evidence as ev
+
+    seen = _saved(monkeypatch, "jump", lambda df, back: plan(df))
+    entries = spark.createDataFrame([(f"e{k}", f"e{k - 1}" if k else None) for k in range(40)], "id string, in_reply_to string")
+    assert [r.id for r in ev.chain(entries, "e39", 2).collect()] == [f"e{k}" for k in range(40)]
+    assert len(seen) > 3 and not any("BroadcastHashJoin" in p for p in seen)
