@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import text
 from ..sources.scratch import folder
@@ -27,17 +27,16 @@ def apply(source: DataFrame, derive: Callable[[DataFrame], DataFrame], target: s
 
 def latest(spark: SparkSession, target: str, key: str) -> DataFrame:
     """For each key the rows of the last batch that has it."""
-    rows = spark.read.parquet(target)
-    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+    rows = spark.read.parquet(target).withColumn("last", F.max("batch").over(Window.partitionBy(key)))
+    return rows.where("batch = last").drop("batch", "last")
 
 
 def _replay(rows: DataFrame, derive, batches: int) -> tuple[SparkSession, str]:
     spark = rows.sparkSession
     base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    for k in range(batches):  # several files, read one a batch
-        rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64 * spark.sparkContext.defaultParallelism) // batches)
+    rows.repartition(batches * files, "id").write.parquet(f"{base}/in")  # an id is in one file, and so in one batch
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     apply(source, derive, f"{base}/out", f"{base}/checkpoint")
     return spark, f"{base}/out"
 

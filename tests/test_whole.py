@@ -155,3 +155,22 @@ def test_long_chains_broadcast_no_links(spark, monkeypatch):
     entries = spark.createDataFrame([(f"e{k}", f"e{k - 1}" if k else None) for k in range(40)], "id string, in_reply_to string")
     assert [r.id for r in ev.chain(entries, "e39", 2).collect()] == [f"e{k}" for k in range(40)]
     assert len(seen) > 3 and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_a_replay_reads_and_writes_batches_of_several_files(spark):
+    from pathlib import Path
+
+    from quillstone.sources.scratch import folder
+    from quillstone.streaming import incremental
+
+    at = Path(folder(spark).removeprefix("file://"))
+    old = set(at.glob("stream-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = spark.range(2000).select(F.concat(F.lit("i"), F.col("id") % 500).alias("id"), F.concat(F.lit("p"), F.col("id") % 700).alias("endpoint"))
+        got = incremental.replay_projection(rows, 3)
+        assert sorted(map(tuple, got.collect())) == sorted(set(map(tuple, rows.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (new,) = set(at.glob("stream-*")) - old
+    assert len(list((new / "in").glob("*.parquet"))) == 12 and len(list((new / "out").glob("batch=*"))) == 3
